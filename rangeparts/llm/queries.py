@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rangeparts.llm import simhash
+from rangeparts.llm import quality, simhash, toxicity
 from rangeparts.llm.common import table
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of `documents`, learned from `labels`: (doc_id, held_out, score, predicted)."""
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of `documents`, learned from `labels`: (doc_id, held_out, score, predicted)."""
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of `documents`: (doc_id, fingerprint, component_id)."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
+    "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }
 
