@@ -13,18 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there from now on.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session's ``spark.checkpoint.dir`` names it.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a single
-    machine) a folder below the warehouse is used, which is shared as well.
+    Only where that is unset (tests, a single machine) a folder below the warehouse is taken, which is
+    shared as well.
     """
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it from there from now on."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        conf = df.sparkSession.conf
-        context.setCheckpointDir(
-            conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        )
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rangeparts.llm import linededup, quality, simhash, toxicity
+from rangeparts.llm import linededup, packing, quality, simhash, toxicity
 from rangeparts.llm.common import table
 
 
@@ -20,6 +20,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def byte_bpe() -> str:
+    """The vocabulary file that documents are packed with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` as tokens, packed into sequences: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
+    return packing.packed(table(spark, sf_dir, "documents"), byte_bpe())
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of `documents`, learned from `labels`: (doc_id, held_out, score, predicted)."""
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -33,6 +45,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_packing": op5_packing,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }
