@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rangeparts.llm import linededup, packing, quality, simhash, toxicity
+from rangeparts.llm import licenses, linededup, packing, quality, simhash, toxicity, winnowing
 from rangeparts.llm.common import table
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of `documents` and of their edited texts, with likenesses."""
+    return winnowing.compared(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of `documents` that repeat earlier ones: (doc_id, n_lines, exact_lines, near_lines, first_docs)."""
     return linededup.report(table(spark, sf_dir, "documents"))
@@ -32,6 +37,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and texts in `documents`."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of `documents`, learned from `labels`: (doc_id, held_out, score, predicted)."""
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -43,13 +53,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_winnowing": op2_winnowing,
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
+    "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": linededup.REPORT_SQL,
+    "op8_licenses": licenses.scan_sql(),
 }
