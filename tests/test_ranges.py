@@ -1,0 +1,171 @@
+"""Ranges of sets and their errors; differences; segments to create; what is cleaned up."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from rangeparts.operators import diff, ranges, routing
+from rangeparts.operators.expected import expected_partitions
+from rangeparts.plans import check, cleanup, provision
+from rangeparts.schemas import CONFIGS, PARTITIONS
+
+
+def parts(spark, *rows, set_name="s"):
+    """Partitions (lo, hi[, name]) of a set."""
+    made = [(set_name, "t", "public", r[2] if len(r) > 2 else f"t_{r[0]}", dt.datetime.fromisoformat(r[0]), dt.datetime.fromisoformat(r[1])) for r in rows]
+    return spark.createDataFrame(made, PARTITIONS)
+
+
+def configs(spark, *rows):
+    return spark.createDataFrame([(n, "public", "t", "k", i, r, p, policy) for n, i, r, p, policy in rows], CONFIGS)
+
+
+Q = [("2026-01-01", "2026-04-01"), ("2026-04-01", "2026-07-01"), ("2026-07-01", "2026-10-01")]
+
+
+@pytest.mark.parametrize(
+    ("rows", "lo", "hi", "error"),
+    [
+        (Q[:1], "2026-01-01", "2026-04-01", None),
+        (Q, "2026-01-01", "2026-10-01", None),
+        ([Q[2], Q[0], Q[1]], "2026-01-01", "2026-10-01", None),
+        ([Q[0], Q[2]], "2026-01-01", "2026-10-01", "GAP"),
+        ([("2026-04-01", "2026-01-01")], "2026-04-01", "2026-01-01", "INCOHERENT_BOUNDS"),
+        ([("2026-01-01", "2026-01-01")], "2026-01-01", "2026-01-01", "INCOHERENT_BOUNDS"),
+        ([Q[0], ("2026-03-01", "2026-07-01")], "2026-01-01", "2026-07-01", "GAP"),
+    ],
+)
+def test_global_range(spark, rows, lo, hi, error):
+    r = ranges.global_range(parts(spark, *rows)).first()
+    assert (str(r.lo.date()), str(r.hi.date()), r.error, r.n_parts) == (lo, hi, error, len(rows))
+
+
+def test_the_first_error_is_told_and_overlaps_are_gaps(spark):
+    rows = parts(spark, ("2026-01-01", "2026-02-01"), ("2026-02-01", "2026-02-01"), ("2026-03-01", "2026-04-01"), ("2026-03-15", "2026-05-01"))
+    r = ranges.global_range(rows).first()
+    assert (r.error, r.n_gaps, r.n_incoherent) == ("INCOHERENT_BOUNDS", 2, 1)
+    assert [x.detail for x in ranges.errors(rows).orderBy("lo").collect()] == [None, "hole", "overlap"]
+
+
+def test_no_partitions_have_no_range(spark):
+    assert ranges.global_range(parts(spark)).count() == 0
+
+
+def test_intersections(spark):
+    rows = [(1, 3, 2, 4, (2, 3)), (1, 3, 3, 4, (3, 3)), (1, 2, 3, 4, None), (1, 9, 2, 3, (2, 3)), (2, 3, 1, 9, (2, 3)), (1, 2, 1, 2, (1, 2))]
+    df = spark.createDataFrame([r[:4] for r in rows], "a int, b int, c int, d int")
+    a = [F.col(x) for x in "abcd"]
+    got = df.select(ranges.intersection(*a).alias("i"), ranges.equal(*a).alias("e"), ranges.disjoint(*a).alias("d")).collect()
+    assert [r.i and tuple(r.i) for r in got] == [r[4] for r in rows]
+    assert [r.e for r in got] == [False] * 5 + [True]
+    assert [r.d for r in got] == [False, True, True, False, False, False]
+
+
+def test_diff(spark):
+    expected = parts(spark, ("2026-01-01", "2026-02-01", "a"), ("2026-02-01", "2026-03-01", "b"), ("2026-03-01", "2026-04-01", "c"))
+    found = parts(spark, ("2026-01-01", "2026-02-01", "a"), ("2026-02-01", "2026-03-02", "b"), ("2025-01-01", "2025-02-01", "z"))
+    got = {r.name: r.status for r in diff.diff(expected, found).collect()}
+    assert got == {"a": "ok", "b": "incorrect_bounds", "c": "missing", "z": "unexpected"}
+    assert [r.name for r in diff.missing(expected, found).collect()] == ["c"]
+    assert [r.name for r in diff.unexpected(expected, found).collect()] == ["z"]
+    assert tuple(diff.counts(diff.diff(expected, found)).first())[1:] == (1, 1, 1, 1)
+
+
+def test_sets_with_the_same_names_are_kept_apart(spark):
+    a, b = parts(spark, ("2026-01-01", "2026-02-01", "x")), parts(spark, ("2026-01-01", "2026-02-01", "x"), set_name="other")
+    assert {(r.set_name, r.status) for r in diff.diff(a, b).collect()} == {("s", "missing"), ("other", "unexpected")}
+
+
+def test_interval_change(spark):
+    """Months that exist, weeks from now on: the first week is cut where the months end."""
+    before = expected_partitions(configs(spark, ("s", "monthly", 1, 1, "drop")), dt.date(2025, 1, 20))
+    c = configs(spark, ("s", "weekly", 2, 10, "drop"))
+    plan = provision.provisioning_plan(expected_partitions(c, dt.date(2025, 2, 1)), before).orderBy("seq").collect()
+    assert [(r.name, str(r.lo.date()), str(r.hi.date()), r.segment) for r in plan] == [
+        ("t_20250301_20250303", "2025-03-01", "2025-03-03", "right"),
+        ("t_2025_w10", "2025-03-03", "2025-03-10", "full"),
+        ("t_2025_w11", "2025-03-10", "2025-03-17", "full"),
+        ("t_2025_w12", "2025-03-17", "2025-03-24", "full"),
+        ("t_2025_w13", "2025-03-24", "2025-03-31", "full"),
+        ("t_2025_w14", "2025-03-31", "2025-04-07", "full"),
+        ("t_2025_w15", "2025-04-07", "2025-04-14", "full"),
+    ]
+
+
+def test_a_wide_candidate_gives_both_ends(spark):
+    c = configs(spark, ("s", "yearly", 0, 0, "drop"))
+    plan = provision.provisioning_plan(expected_partitions(c, dt.date(2025, 5, 5)), parts(spark, ("2025-03-01", "2025-04-01"))).orderBy("seq").collect()
+    assert [(r.name, r.segment) for r in plan] == [("t_20250101_20250301", "left"), ("t_20250401_20260101", "right")]
+
+
+def test_nothing_is_provisioned_for_equal_ranges_and_all_for_none(spark):
+    c = configs(spark, ("s", "monthly", 1, 1, "drop"))
+    e = expected_partitions(c, dt.date(2025, 2, 10))
+    assert provision.segments(e, parts(spark, ("2025-01-01", "2025-04-01"))).count() == 0
+    assert {r.segment for r in provision.segments(e, parts(spark)).collect()} == {"full"}
+    assert provision.segments(e, parts(spark)).count() == 3
+
+
+def test_provisioning_covers_the_expected_range(spark):
+    c = configs(spark, ("s", "weekly", 5, 5, "drop"))
+    e = expected_partitions(c, dt.date(2025, 2, 10))
+    have = parts(spark, ("2025-01-20", "2025-02-03"), ("2025-02-03", "2025-02-04"))
+    all_ = have.select("set_name", "name", "lo", "hi").union(provision.segments(e, have).select("set_name", "name", "lo", "hi"))
+    r, goal = ranges.global_range(all_).first(), ranges.global_range(e).first()
+    assert r.error is None and r.lo <= goal.lo and r.hi >= goal.hi
+
+
+def test_cleanup_both_sides(spark):
+    have = expected_partitions(configs(spark, ("s", "daily", 3, 3, "drop")), dt.date(2025, 2, 10)).drop("i")
+    c = configs(spark, ("s", "daily", 1, 1, "drop"))
+    plan = cleanup.cleanup_plan(c, expected_partitions(c, dt.date(2025, 2, 10)), have).orderBy("seq").collect()
+    assert [(r.name[-2:], r.action) for r in plan] == [(d, a) for d in ("07", "08", "12", "13") for a in ("detach", "drop")]
+    c = configs(spark, ("s", "daily", 1, 1, "detach"))
+    plan = cleanup.cleanup_plan(c, expected_partitions(c, dt.date(2025, 2, 10)), have)
+    assert {r.action for r in plan.collect()} == {"detach"} and plan.count() == 4
+
+
+def test_what_straddles_the_expected_range_stays(spark):
+    c = configs(spark, ("s", "daily", 1, 1, "drop"))
+    e = expected_partitions(c, dt.date(2025, 2, 10))
+    gone = cleanup.outdated(e, parts(spark, ("2025-01-01", "2025-02-01"), ("2025-02-01", "2025-02-10"), ("2025-02-10", "2025-03-01")))
+    assert [str(r.lo.date()) for r in gone.collect()] == ["2025-01-01"]
+
+
+def test_a_gap_blocks_cleanup(spark):
+    have = parts(spark, ("2024-12-01", "2025-01-01"), ("2025-02-01", "2025-03-01"))
+    assert [tuple(r) for r in cleanup.blocked(have).collect()] == [("s", "GAP")]
+
+
+def test_check(spark):
+    c = configs(spark, ("s", "monthly", 1, 0, "drop"), ("none", "monthly", 1, 0, "drop"), ("key", "monthly", 1, 0, "drop"))
+    e = expected_partitions(c, dt.date(2025, 2, 10))
+    have = e.where("set_name = 's'").drop("i")
+    errors = spark.createDataFrame([("s", None), ("none", None), ("key", "KEY_MISMATCH")], "set_name string, error string")
+    got = {r.set_name: (r.error, r.n_missing) for r in check.check(c, e, have, errors).collect()}
+    assert got == {"s": (None, 0), "none": ("LAYOUT_MISMATCH", 2), "key": ("KEY_MISMATCH", 2)}
+
+
+def test_routing(spark, tmp_path):
+    have = parts(spark, ("2025-01-01", "2025-02-01", "a"), ("2025-02-01", "2025-02-03 12:00:00", "b"), ("2025-02-03 12:00:00", "2025-02-10", "c"))
+    rows = spark.createDataFrame([("2025-01-31 23:59:59",), ("2025-02-01",), ("2025-02-03 11:00:00",), ("2025-02-03 12:00:00",), ("2025-03-01",), (None,)], "at string")
+    rows = rows.withColumn("at", F.col("at").cast("timestamp_ntz"))
+    routed = routing.route_rows(rows, "at", have)
+    assert [r.part_name for r in routed.orderBy("at").collect()] == [None, "a", "b", "b", "c", None]
+    regular = routing.route_regular(rows, "at", "monthly", "t")
+    assert [r.part_name for r in regular.orderBy("at").collect()] == [None, "t_2025_01", "t_2025_02", "t_2025_02", "t_2025_02", "t_2025_03"]
+    routed.where("part_name is not null").write.partitionBy("part_name").parquet(str(tmp_path / "t"))
+    lo, hi = (F.lit(d).cast("timestamp_ntz") for d in ("2025-02-02", "2025-02-04"))
+    read = routing.read_range(spark.read.parquet(str(tmp_path / "t")), "at", have, lo, hi)
+    assert read.count() == 2
+    assert len(read.inputFiles()) == 2  # of three partitions
+
+
+def test_streams_are_routed(spark, tmp_path):
+    from rangeparts.streaming.routing import routed_stream, write_partitioned
+
+    spark.createDataFrame([("2025-01-31",), ("2025-02-01",)], "at string").selectExpr("cast(at as timestamp_ntz) at").write.parquet(str(tmp_path / "in"))
+    stream = routed_stream(spark.readStream.schema("at timestamp_ntz").parquet(str(tmp_path / "in")), "at", "monthly", "t")
+    write_partitioned(stream, str(tmp_path / "out"), str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.part_name for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["t_2025_01", "t_2025_02"]
