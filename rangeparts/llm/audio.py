@@ -97,14 +97,14 @@ _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
 def log_mel(samples: bytes) -> np.ndarray:
-    """(frames, MELS): log-mel energies in decibels, of whole frames at every HOP; a short sound has one frame."""
+    """(frames, MELS): log-mel energies in decibels, of frames around every HOP; beyond its ends a sound is silent."""
     x = (np.frombuffer(samples, dtype=np.uint8).astype(np.float32) - 128) / 128
     n = -(-len(x) * UP // DOWN)
-    frames = max(1, 1 + (n - FRAME) // HOP)
+    frames = 1 + n // HOP
     out = []
     for at in range(0, frames, BLOCK // HOP):
         k = min(BLOCK // HOP, frames - at)
-        y = resampled(x, at * HOP, (k - 1) * HOP + FRAME)
+        y = resampled(x, at * HOP - FRAME // 2, (k - 1) * HOP + FRAME)
         y = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP] * _WINDOW
         power = np.abs(np.fft.rfft(y, axis=1)).astype(np.float32) ** 2
         out.append(10 * np.log10(power @ _BANDS + 1e-6))
@@ -140,11 +140,11 @@ def features(samples: bytes) -> pa.RecordBatch:
     full[: len(mel)] = np.round(mel, 2)
     second = HOP * DOWN / UP / RATE
     starts = np.arange(n) * PATCH
-    ends = np.minimum(starts + PATCH, len(mel))
+    ends = np.minimum((starts + PATCH) * second, len(samples) / RATE)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(starts * second),
-            pa.array((ends - 1) * second + FRAME * DOWN / UP / RATE),
+            pa.array(np.minimum(starts * second, ends)),
+            pa.array(ends),
             pa.array(np.add.reduceat(loud, starts).astype(np.int32)),
             pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(n, PATCH, MELS)),
         ],

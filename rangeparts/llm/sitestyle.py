@@ -72,7 +72,7 @@ class Node:
     def __init__(self, tag: str, parent: Node | None, attributes: dict[str, str]):
         self.tag, self.parent, self.attributes = tag, parent, attributes
         self.children: list[Node | str] = []
-        look = re.sub(r"\d+", "0", " ".join(sorted(attributes.get("class", "").lower().split())))
+        look = re.sub(r"\d{3,}", "0", " ".join(sorted(attributes.get("class", "").lower().split())))
         self.key = xxhash.xxh64_intdigest(f"{parent.key if parent else 0} {tag} {look}") >> 1
 
 
