@@ -23,7 +23,7 @@ NEAR_CHARS = 32
 EDITS = 1
 #: Parts of a line in the finer cut, at most.
 FINE = 16
-#: Candidate rows up to which a table is sent to all executors instead of shuffling the texts (a few MB).
+#: Candidate lines up to which their places are sent to all executors (some MB) instead of shuffling the texts.
 SMALL = 100_000
 LAST = (1 << 63) - 1
 
@@ -85,7 +85,7 @@ def _shared(rows: DataFrame, *key: str) -> DataFrame:
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(id, th, no, s) of the lines at ``places``."""
     wanted = cut(places.groupBy("id", "th").agg(F.collect_set("no").alias("nos")))
-    if wanted.count() <= SMALL:
+    if wanted.agg(F.coalesce(F.sum(F.size("nos")), F.lit(0))).first()[0] <= SMALL:
         wanted = F.broadcast(wanted)
     found = _rows(docs).join(wanted, ["id", "th"])
     return found.select("id", "th", "lines", F.explode("nos").alias("no")).select(
