@@ -34,7 +34,7 @@ def route_rows(rows: DataFrame, key: str, partitions: DataFrame) -> DataFrame:
     """
     days = _daily(partitions.select("name", "lo", "hi"))
     days = days.select(F.col("day").alias("_day"), F.col("name").alias("part_name"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    if len(days.limit(BROADCAST_ROWS + 1).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
+    if days.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         days = F.broadcast(days)
     at = F.col(key).cast("timestamp_ntz")
     match = (at.cast("date") == F.col("_day")) & (at >= F.col("_lo")) & (at < F.col("_hi"))
