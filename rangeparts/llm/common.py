@@ -60,5 +60,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
 
 
 def worker_cache(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, whatever task asks for it."""
-    return sys.modules.setdefault("_rangeparts_worker", types.ModuleType("_rangeparts_worker")).__dict__.setdefault(name, {})
+    """A dictionary that a Python worker keeps from task to task, for one operator at a time.
+
+    A worker serves one operator after another; what it kept for the last one is let go when the next
+    one asks, so that their tables don't add up.
+    """
+    kept = sys.modules.setdefault("_rangeparts_worker", types.ModuleType("_rangeparts_worker")).__dict__
+    if kept.get("operator") != name:
+        kept["operator"], kept["cache"] = name, {}
+    return kept["cache"]

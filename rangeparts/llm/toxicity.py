@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeparts.llm.common import cut, fold, training_rows
+from rangeparts.llm.common import cut, fold, training_rows, worker_cache
 
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
@@ -31,8 +31,8 @@ SHARED_SLOTS, CLASS_SLOTS = 18, 20
 PROBES = 3
 #: A word's ratio counts as MOST at most; one over CLEAR speaks for itself.
 MOST, CLEAR = 6.0, 1.5
-#: Texts whose words are looked up together.
-CHUNK = 4000
+#: Texts whose words are looked up together, words whose n-grams are counted together, and words whose ratios are kept.
+CHUNK, WORDS, KEPT_WORDS = 500, 50_000, 150_000
 
 WORD = re.compile(r"[^\W_]+")
 BEGIN, END = 2, 3
@@ -132,14 +132,16 @@ class Shared:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shared = Shared()
+    worker_cache("toxicity")  # lets go of what other operators keep
+    shared, words = Shared(), Counter()
     for batch in batches:
-        for at in range(0, batch.num_rows, CHUNK):
-            words: Counter = Counter()
-            for text in batch.column(0).slice(at, CHUNK):
-                words.update(words_of(text.as_py()))
-            if words:
+        for text in batch.column(0):
+            words.update(words_of(text.as_py()))
+            if len(words) > WORDS:
                 shared.add(words)
+                words.clear()
+    if words:
+        shared.add(words)
     yield shared.rows()
 
 
@@ -162,16 +164,20 @@ def shared_counts(docs: DataFrame) -> Shared:
 class Model:
     """Kneser-Ney models of two classes over a shared one."""
 
-    def __init__(self, shared: tuple[np.ndarray, np.ndarray], words: dict[str, list[int]]):
-        """words: in how many ordinary and in how many toxic texts each word stands."""
+    def __init__(self, shared: tuple[np.ndarray, np.ndarray], ordinary: Counter, toxic: Counter):
+        """ordinary, toxic: in how many texts of the class each word stands."""
         self.share, self.rest = shared
-        grams = _Grams(list(words))
-        times = np.array(list(words.values()), dtype=np.float64).reshape(-1, 2)
-        keys, contexts, at = self._highest(grams)
+        self.known: dict[str, float] = {}
+        names = [*ordinary, *(w for w in toxic if w not in ordinary)]
+        parts = []
+        for at in range(0, len(names), WORDS):
+            some = names[at : at + WORDS]
+            parts.append(self._counted(some, np.array([(ordinary.get(w, 0), toxic.get(w, 0)) for w in some], dtype=np.float64)))
+        keys, contexts, parts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64),) * 2 + (np.zeros((0, 2)),)
         kinds, where, back = np.unique(keys, return_index=True, return_inverse=True)
+        counts = np.stack([np.bincount(back, weights=parts[:, c], minlength=len(kinds)) for c in (0, 1)])
         over, which = np.unique(contexts[where], return_inverse=True)
         share, rest = np.zeros((len(kinds), 2)), np.ones((len(over), 2))
-        counts = np.stack([np.bincount(back, weights=times[grams.word[at], c], minlength=len(kinds)) for c in (0, 1)])
         for c in (0, 1):
             once, twice = (counts[c] == 1).sum(), (counts[c] == 2).sum()
             d = max(0.5, once / (once + 2 * twice)) if once else 0.75
@@ -186,6 +192,15 @@ class Model:
         self._seat(kinds, share, self.shares, self.tags)
         self._seat(over, rest, self.rests, self.marks)
 
+    @classmethod
+    def _counted(cls, words: list[str], times: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(key, context, counts) of the different n-grams of some words."""
+        grams = _Grams(words)
+        keys, contexts, at = cls._highest(grams)
+        kinds, where, back = np.unique(keys, return_index=True, return_inverse=True)
+        counts = [np.bincount(back, weights=times[grams.word[at], c], minlength=len(kinds)) for c in (0, 1)]
+        return kinds, contexts[where], np.stack(counts, axis=1)
+
     @staticmethod
     def _place(keys: np.ndarray, probe: int) -> tuple[np.ndarray, np.ndarray]:
         """(slot, tag) of the keys at one of their PROBES places; a tag is never 0."""
@@ -249,16 +264,19 @@ class Model:
         """Of each text, by the ratios of its words: their mean, the mean of the highest hundredth, the
         excess over CLEAR of its different words, whole and by the root of their number, and the length.
         """
-        split = [words_of(t) for t in texts]
-        names: dict[str, int] = {}
-        ids = [np.fromiter((names.setdefault(w, len(names)) for w in ws), dtype=np.int64, count=len(ws)) for ws in split]
-        ratios = np.clip(self.ratios(list(names)), -MOST, MOST)
-        excess = np.maximum(ratios - CLEAR, 0)
+        split, known = [words_of(t) for t in texts], self.known
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        new = list({w for ws in split for w in ws if w not in known})
+        for at in range(0, len(new), WORDS):
+            some = new[at : at + WORDS]
+            known.update(zip(some, np.clip(self.ratios(some), -MOST, MOST).tolist(), strict=True))
         out = np.zeros((len(texts), 5))
-        for row, i in zip(out, ids, strict=True):
-            if len(i):
-                r, different = ratios[i], np.unique(i)
-                top, over = 1 + len(r) // 100, excess[different].sum()
+        for row, words in zip(out, split, strict=True):
+            if words:
+                r = np.array([known[w] for w in words])
+                different = set(words)
+                top, over = 1 + len(r) // 100, sum(max(known[w] - CLEAR, 0.0) for w in different)
                 row[:] = (
                     r.mean(), np.partition(r, len(r) - top)[-top:].mean(),
                     np.log1p(over), over / np.sqrt(len(different)), np.log1p(len(r)),
@@ -300,26 +318,21 @@ def train(shared: Shared, rows: list[tuple[str, int]]) -> tuple[Model, np.ndarra
     """The models, and the weights of the document's features, which are fitted on texts that their models have not seen."""
     lower = shared.model()
 
-    def counted(part: list[tuple[str, int]]) -> dict[str, list[int]]:
-        words: dict[str, list[int]] = {}
-        for text, label in part:
-            for w in set(words_of(text)):
-                words.setdefault(w, [0, 0])[label] += 1
-        return words
-
     halves = rows[::2], rows[1::2]
-    counts = [counted(h) for h in halves]
+    counts = [(Counter(), Counter()), (Counter(), Counter())]
+    for half, classes in zip(halves, counts, strict=True):
+        for text, label in half:
+            classes[label].update(set(words_of(text)))
     x, y = [], []
     for i in (0, 1):
-        model = Model(lower, counts[1 - i])
+        model = Model(lower, *counts[1 - i])
         for at in range(0, len(halves[i]), CHUNK):
             x.append(model.features([t for t, _ in halves[i][at : at + CHUNK]]))
         y += [label for _, label in halves[i]]
-    for w, n in counts[1].items():
-        both = counts[0].setdefault(w, [0, 0])
-        both[0] += n[0]
-        both[1] += n[1]
-    return Model(lower, counts[0]), _logistic(np.concatenate(x), np.array(y, dtype=float))
+    for whole, more in zip(counts[0], counts[1], strict=True):
+        whole.update(more)
+        more.clear()
+    return Model(lower, *counts[0]), _logistic(np.concatenate(x), np.array(y, dtype=float))
 
 
 PARTS = ("share", "rest", "shares", "tags", "rests", "marks")
@@ -333,6 +346,7 @@ def _packed(model: Model, weights: np.ndarray) -> bytes:
 def _unpacked(data: bytes) -> tuple[Model, np.ndarray]:
     parts = np.load(io.BytesIO(data))
     model = Model.__new__(Model)
+    model.known = {}
     for k in PARTS:
         setattr(model, k, parts[k])
     return model, parts["weights"]
@@ -351,6 +365,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes | flo
     shared = docs.sparkSession.sparkContext.broadcast(shared_counts(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         got = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
         got.sort(key=lambda r: r[0])
         yield pa.RecordBatch.from_arrays([pa.array([_packed(*train(shared.value, [r[1:] for r in got]))], pa.binary())], ["model"])
@@ -366,6 +381,7 @@ def _scored(docs: DataFrame, model: bytes | float) -> DataFrame:
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         models, weights = _unpacked(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):

@@ -139,7 +139,7 @@ def test_unknown_words_say_nothing():
 
     shared = toxicity.Shared()
     shared.add(Counter(WORDS))
-    model = toxicity.Model(shared.model(), {w: [5, 1] for w in WORDS} | {w: [0, 5] for w in RUDE})
+    model = toxicity.Model(shared.model(), Counter({w: 5 for w in WORDS}), Counter({w: 1 for w in WORDS} | {w: 5 for w in RUDE}))
     ratios = dict(zip(["qqq", *WORDS, *RUDE], model.ratios(["qqq", *WORDS, *RUDE]), strict=True))
     assert min(ratios[w] for w in RUDE) > 2 > abs(ratios["qqq"])
     assert max(ratios[w] for w in WORDS) < 1
