@@ -8,10 +8,12 @@ used a number of times. The pieces then find their places by rank, in parallel.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +32,26 @@ LARGE = 8
 NEAR_BEST = 1.0005
 #: Pieces that are ranked by one task, about.
 RANKED = 50_000
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 250_000
+#: Words whose ids a worker keeps, of those at the beginning of a line and of the others.
+KEPT_WORDS = 200_000
 
 
 # -- tokens ------------------------------------------------------------------------------------
 
 
+class _Known(dict):
+    """Ids of the parts that have been seen, each with the same text before it; the others are encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes], before: str):
+        self.encode, self.before = encode, before
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        ids = self[part] = self.encode(self.before + part)
+        return ids
+
+
 class Encoder:
     """Ids of a text under a byte-level BPE vocabulary file, as little-endian unsigned 32-bit bytes.
 
@@ -55,12 +70,14 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.first, self.later = _Known(self._ids, ""), _Known(self._ids, " ")
         self.latin = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-ɏ]*").fullmatch
-        self.blanks = re.compile(r"\s\s|^\s|\s$|[^\S \n]").search
+        self.other_blanks = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.fast = self._fast(spec["model"], {t["content"] for t in spec["added_tokens"]})
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are written as this machine has them: little-endian, 32 bits")
         self.line_end = self._ids("\n")
 
     @staticmethod
@@ -80,25 +97,25 @@ class Encoder:
 
     def _ids(self, part: str) -> bytes:
         if self.fast is not None and self.latin(part):
-            return np.array(self.fast.encode_ordinary(part), dtype="<u4").tobytes()
-        return np.array(self.whole.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return array("I", self.fast.encode_ordinary(part)).tobytes()
+        return array("I", self.whole.encode(part, add_special_tokens=False).ids).tobytes()
+
+    def _plain(self, text: str) -> bool:
+        """Whether all white space is single spaces and line ends between other characters."""
+        if text[:1].isspace() or text[-1:].isspace() or self.other_blanks(text):
+            return False
+        return not any(run in text for run in ("  ", " \n", "\n ", "\n\n"))
 
     def encode(self, text: str) -> bytes:
-        if self.blanks(text):  # runs of white space are cut by other rules
+        if not self._plain(text):  # runs of white space are cut by other rules
             return self._ids(text)
-        known, out = self.known, []
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append(self.line_end)
-            first, *rest = line.split(" ")
-            for part in (first, *[" " + p for p in rest]):
-                ids = known.get(part)
-                if ids is None:
-                    ids = known[part] = self._ids(part)
-                out.append(ids)
-        return b"".join(out)
+        out, first, later = [], self.first.__getitem__, self.later.__getitem__
+        for line in text.split("\n"):
+            parts = line.split(" ")
+            out.append(self.line_end)
+            out.append(first(parts[0]))
+            out += map(later, parts[1:])
+        return b"".join(out[1:])
 
 
 def cuts(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
