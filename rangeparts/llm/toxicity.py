@@ -25,7 +25,9 @@ THRESHOLD = 0.3
 #: Labelled rows that the class models are fitted on, at most. The shared counts are of all rows.
 SAMPLE = 16_384
 ORDER = 5
-#: Slots of the n-grams of an order in the shared model, and of all n-grams in the class models: 2 ** each.
+#: What an n-gram's count is lowered by in the shared model.
+DISCOUNT = 0.75
+#: Characters that are thought possible (Unicode has some 160,000), and slots of all n-grams in the class models: 2 ** each.
 SHARED_SLOTS, CLASS_SLOTS = 18, 20
 #: Slots in which an n-gram may be, one after another.
 PROBES = 3
@@ -76,95 +78,166 @@ class _Grams:
         return (self.place >= n - 1) & (self.place >= 1)
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - SHARED_SLOTS)).astype(np.int64)
+class ByOrder(list):
+    """A value for each key, by order; ``keys`` has the sorted keys, ``missing`` the value of any other one."""
+
+    def __init__(self, keys: list[np.ndarray], values: list[np.ndarray], missing: list[float]):
+        super().__init__(values)
+        self.keys, self.missing = keys, missing
+
+    def of(self, n: int, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), self.missing[n], dtype=np.float64)
+        if len(self.keys[n]):
+            at = np.minimum(np.searchsorted(self.keys[n], keys), len(self.keys[n]) - 1)
+            found = self.keys[n][at] == keys
+            out[found] = self[n][at[found]]
+        return out
+
+
+def _by_order(shares: list[tuple], rests: list[tuple], characters: tuple[np.ndarray, np.ndarray]) -> tuple[ByOrder, ByOrder]:
+    """Shares and rests from (keys, values) by order, from 0, and how many characters each single one follows."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+    keys, followed = characters
+    whole = followed.sum() + 0.5 * (1 << SHARED_SLOTS)
+    shares = [none, (keys, ((followed + 0.5) / whole).astype(np.float32)), *shares[2:]]
+    share = ByOrder([k for k, _ in shares], [v for _, v in shares], [0.0, 0.5 / whole] + [0.0] * (ORDER - 1))
+    rests = [none, none, *rests[2:]]
+    return share, ByOrder([k for k, _ in rests], [v for _, v in rests], [1.0] * (ORDER + 1))
+
+
+def _rows_of(words: list[str], times: np.ndarray) -> Iterator[tuple]:
+    """(n, keys, contexts, suffixes, begins, times) of the different n-grams of some words, for each order; keys are sorted."""
+    grams = _Grams(words)
+    for n in range(2, ORDER + 1):
+        at = np.flatnonzero(grams.known(n))
+        keys, where, back = np.unique(grams.key(n)[at], return_index=True, return_inverse=True)
+        first = at[where]
+        summed = np.bincount(back, weights=times[grams.word[at]], minlength=len(keys)).astype(np.int64)
+        yield n, keys, grams.context(n)[first], grams.key(n - 1)[first], grams.place[first] == n - 1, summed
 
 
 class Shared:
-    """Counts of the n-grams of a corpus by order and slot; its size does not depend on the corpus."""
+    """Counts of the n-grams of the words that are added, held in memory; ``shared_model`` does the same for a corpus."""
 
     def __init__(self):
-        size = 1 << SHARED_SLOTS
-        self.times = np.zeros((ORDER + 1, size), dtype=np.int64)
-        #: Of each slot: the slot of its context, that of the n-gram without its first character, whether it begins a word.
-        self.context = np.zeros((ORDER + 1, size), dtype=np.int32)
-        self.suffix = np.zeros((ORDER + 1, size), dtype=np.int32)
-        self.begins = np.zeros((ORDER + 1, size), dtype=bool)
+        self.words: Counter = Counter()
+        self.times, self.context = ([np.zeros(0, np.int64) for _ in range(ORDER + 1)] for _ in range(2))
 
     def add(self, words: Counter) -> None:
-        grams = _Grams(list(words))
-        times = np.fromiter(words.values(), dtype=np.float64, count=len(words))
-        for n in range(2, ORDER + 1):
-            at = np.flatnonzero(grams.known(n))
-            slots = _slots(grams.key(n)[at])
-            self.times[n] += np.bincount(slots, weights=times[grams.word[at]], minlength=1 << SHARED_SLOTS).astype(np.int64)
-            self.context[n, slots] = _slots(grams.context(n)[at])
-            self.suffix[n, slots] = _slots(grams.key(n - 1)[at])
-            self.begins[n, slots] = grams.place[at] == n - 1
-
-    def rows(self) -> pa.RecordBatch:
-        n, slot = np.nonzero(self.times)
-        columns = [n.astype(np.int32), slot.astype(np.int32), *(x[n, slot] for x in (self.context, self.suffix, self.begins, self.times))]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["n", "slot", "context", "suffix", "begins", "times"])
+        self.words.update(words)
 
-    def model(self) -> tuple[np.ndarray, np.ndarray]:
-        """By order and slot: the discounted share of the n-gram, and what its context leaves to the lower order.
+    def model(self) -> tuple[ByOrder, ByOrder]:
+        """By order and n-gram its discounted share, and by order and context what that leaves to the lower order.
 
         Below the highest order an n-gram counts once for each character seen before it, as
         Kneser-Ney has it; where it begins a word nothing can stand before it, and its times count.
+        ``context`` has the place of each n-gram's context among those of its order.
         """
-        size = 1 << SHARED_SLOTS
-        share, rest = np.zeros((ORDER + 1, size), np.float32), np.ones((ORDER + 1, size), np.float32)
+        names = list(self.words)
+        rows = list(_rows_of(names, np.array([self.words[w] for w in names], dtype=np.float64)))
+        shares, rests = [()] * (ORDER + 1), [()] * (ORDER + 1)
         followed = None
-        for n in range(ORDER, 1, -1):
-            slot = np.flatnonzero(self.times[n])
-            counts = self.times[n].astype(np.float64)
+        for n, keys, contexts, suffixes, begins, times in reversed(rows):
+            counts = times.astype(np.float64)
             if followed is not None:
-                counts = np.where(self.begins[n], counts, np.maximum(followed, counts > 0))
-            context, d = self.context[n, slot], 0.75
-            total = np.bincount(context, weights=counts[slot], minlength=size)
-            kinds = np.bincount(context, minlength=size)
-            share[n, slot] = np.maximum(counts[slot] - d, 0) / np.maximum(total[context], 1)
-            rest[n] = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-            followed = np.bincount(self.suffix[n, slot], minlength=size).astype(np.float64)
-        share[1] = (followed + 0.5) / (followed.sum() + 0.5 * size)
-        return share, rest
-
-
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                seen = dict(zip(followed[0].tolist(), followed[1].tolist(), strict=True))
+                counts = np.where(begins, counts, [max(seen.get(k, 0), 1) for k in keys.tolist()])
+            over, context = np.unique(contexts, return_inverse=True)
+            total, kinds = np.bincount(context, weights=counts), np.bincount(context)
+            shares[n] = keys, (np.maximum(counts - DISCOUNT, 0) / total[context]).astype(np.float32)
+            rests[n] = over, (DISCOUNT * kinds / total).astype(np.float32)
+            self.times[n], self.context[n] = times, context
+            followed = np.unique(suffixes, return_counts=True)
+        return _by_order(shares, rests, followed)
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     worker_cache("toxicity")  # lets go of what other operators keep
-    shared, words = Shared(), Counter()
+    words = Counter()
+
+    def rows() -> pa.RecordBatch:
+        columns = [pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())]
+        words.clear()
+        return pa.RecordBatch.from_arrays(columns, ["word", "times"])
+
     for batch in batches:
         for text in batch.column(0):
             words.update(words_of(text.as_py()))
-            if len(words) > WORDS:
-                shared.add(words)
-                words.clear()
+            if len(words) > KEPT_WORDS:
+                yield rows()
     if words:
-        shared.add(words)
-    yield shared.rows()
-
-
-def shared_counts(docs: DataFrame) -> Shared:
-    """The n-grams of all ``docs``. Each task gives ORDER * 2 ** SHARED_SLOTS rows at most, and so does their sum."""
-    rows = (
-        docs.select("text")
-        .mapInArrow(_count_batches, "n int, slot int, context int, suffix int, begins boolean, times long")
-        .groupBy("n", "slot")
-        .agg(*(F.max(c).alias(c) for c in ("context", "suffix", "begins")), F.sum("times").alias("times"))
-        .toPandas()
-    )
-    shared = Shared()
-    n, slot = rows["n"].to_numpy(np.int64), rows["slot"].to_numpy(np.int64)
-    for name in ("context", "suffix", "begins", "times"):
-        getattr(shared, name)[n, slot] = rows[name].to_numpy()
-    return shared
+        yield rows()
+
+
+GRAM_COLUMNS = "n int, key long, context long, suffix long, begins boolean, times long"
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        times = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+        for n, keys, contexts, suffixes, begins, summed in _rows_of(batch.column(0).to_pylist(), times):
+            columns = [np.full(len(keys), n, np.int32), *(x.view(np.int64) for x in (keys, contexts, suffixes)), begins, summed]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["n", "key", "context", "suffix", "begins", "times"])
+
+
+def _judged_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = sorted({w for text in batch.column(0) for w in words_of(text.as_py())})
+        for at in range(0, len(words), WORDS):
+            contexts = np.unique(Model._highest(_Grams(words[at : at + WORDS]))[1])
+            yield pa.RecordBatch.from_arrays([pa.array(contexts.view(np.int64))], ["context"])
+
+
+def gram_table(docs: DataFrame) -> DataFrame:
+    """(n, key, context, suffix, begins, share, rest) of each different n-gram of all ``docs``: the Kneser-Ney model as a
+    table, keyed by whole hashes, which grows with the corpus. ``rest`` is what the context leaves to the lower order."""
+    words = docs.select("text").mapInArrow(_count_words, "word string, times long").groupBy("word").agg(F.sum("times").alias("times"))
+    grams = words.mapInArrow(_count_grams, GRAM_COLUMNS).groupBy("n", "key")
+    grams = cut(grams.agg(*(F.min(c).alias(c) for c in ("context", "suffix", "begins")), F.sum("times").alias("times")))
+    followed = grams.groupBy((F.col("n") - 1).alias("n"), F.col("suffix").alias("key")).agg(F.count("*").alias("followed"))
+    counts = F.when((F.col("n") == ORDER) | F.col("begins"), F.col("times")).otherwise(F.greatest(F.coalesce("followed", F.lit(0)), F.lit(1)))
+    counted = grams.join(followed, ["n", "key"], "left").withColumn("counts", counts)
+    totals = counted.groupBy("n", "context").agg(F.sum("counts").alias("total"), F.count("*").alias("kinds"))
+    return counted.join(totals, ["n", "context"]).select(
+        "n", "key", "context", "suffix", "begins", (F.greatest(F.col("counts") - DISCOUNT, F.lit(0.0)) / F.col("total")).alias("share"),
+        (DISCOUNT * F.col("kinds") / F.col("total")).alias("rest"),
+    )
+
+
+def shared_model(docs: DataFrame, rows: DataFrame) -> tuple[ByOrder, ByOrder]:
+    """Of the model of all ``docs`` what class models learned from ``rows`` can ask for.
+
+    After a context that stands in none of ``rows`` both classes give what the shared model gives, so
+    the ratio is 0 whatever that is. Only n-grams after the other contexts, and what those back off
+    to, are collected: their number is bounded by the contexts of the sample and the characters that
+    follow them.
+    """
+    table = cut(gram_table(docs))
+    judged = rows.select("text").mapInArrow(_judged_contexts, "context long").distinct()
+    asked = cut(table.where((F.col("n") == ORDER) | F.col("begins")).join(judged, "context", "left_semi"))
+    shares, rests, lower = [()] * (ORDER + 1), [()] * (ORDER + 1), None
+    for n in range(ORDER, 1, -1):
+        keys = asked.where(F.col("n") == n).select("key")
+        if lower is not None:
+            keys = keys.union(lower.select(F.col("suffix").alias("key")))
+        lower = table.where(F.col("n") == n).join(keys.distinct(), "key", "left_semi")
+        lower = cut(lower.select("key", "context", "suffix", "share", "rest"))
+        got = lower.select("key", "context", "share", "rest").toPandas()
+        keys, contexts = (got[c].to_numpy(np.int64).view(np.uint64) for c in ("key", "context"))
+        order = np.argsort(keys)
+        shares[n] = keys[order], got["share"].to_numpy(np.float32)[order]
+        over, where = np.unique(contexts, return_index=True)
+        rests[n] = over, got["rest"].to_numpy(np.float32)[where]
+    single = table.where("n = 2").groupBy("suffix").agg(F.count("*").alias("followed")).orderBy("suffix").toPandas()
+    keys, followed = single["suffix"].to_numpy(np.int64).view(np.uint64), single["followed"].to_numpy(np.float64)
+    order = np.argsort(keys)
+    return _by_order(shares, rests, (keys[order], followed[order]))
 
 
 class Model:
     """Kneser-Ney models of two classes over a shared one."""
 
-    def __init__(self, shared: tuple[np.ndarray, np.ndarray], ordinary: Counter, toxic: Counter):
+    def __init__(self, shared: tuple[ByOrder, ByOrder], ordinary: Counter, toxic: Counter):
         """ordinary, toxic: in how many texts of the class each word stands."""
         self.share, self.rest = shared
         self.known: dict[str, float] = {}
@@ -247,11 +320,11 @@ class Model:
         keys, contexts, at = self._highest(grams)
         if not len(at):
             return np.zeros(len(words))
-        lower = self.share[1][_slots(grams.key(1)[at])].astype(np.float64)
+        lower = self.share.of(1, grams.key(1)[at])
         for n in range(2, ORDER + 1):
             inside = grams.known(n)[at]
             to = at[inside]
-            lower[inside] = self.share[n][_slots(grams.key(n)[to])] + self.rest[n][_slots(grams.context(n)[to])] * lower[inside]
+            lower[inside] = self.share.of(n, grams.key(n)[to]) + self.rest.of(n, grams.context(n)[to]) * lower[inside]
         p = np.stack([lower, lower], axis=1)
         slot = self._find(contexts, self.marks)
         p[slot >= 0] *= self.rests[slot[slot >= 0]]
@@ -314,10 +387,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return np.r_[weights, w[-1] - weights @ mean]
 
 
-def train(shared: Shared, rows: list[tuple[str, int]]) -> tuple[Model, np.ndarray]:
+def train(lower: tuple[ByOrder, ByOrder], rows: list[tuple[str, int]]) -> tuple[Model, np.ndarray]:
     """The models, and the weights of the document's features, which are fitted on texts that their models have not seen."""
-    lower = shared.model()
-
     halves = rows[::2], rows[1::2]
     counts = [(Counter(), Counter()), (Counter(), Counter())]
     for half, classes in zip(halves, counts, strict=True):
@@ -335,11 +406,17 @@ def train(shared: Shared, rows: list[tuple[str, int]]) -> tuple[Model, np.ndarra
     return Model(lower, *counts[0]), _logistic(np.concatenate(x), np.array(y, dtype=float))
 
 
-PARTS = ("share", "rest", "shares", "tags", "rests", "marks")
+PARTS = ("shares", "tags", "rests", "marks")
 
 
 def _packed(model: Model, weights: np.ndarray) -> bytes:
-    np.savez_compressed(out := io.BytesIO(), weights=weights, **{k: getattr(model, k) for k in PARTS})
+    orders = {
+        f"{name}_{part}_{n}": x
+        for name in ("share", "rest") for part, xs in (("keys", getattr(model, name).keys), ("values", getattr(model, name)))
+        for n, x in enumerate(xs)
+    }
+    missing = {f"{name}_missing": np.array(getattr(model, name).missing) for name in ("share", "rest")}
+    np.savez_compressed(out := io.BytesIO(), weights=weights, **orders, **missing, **{k: getattr(model, k) for k in PARTS})
     return out.getvalue()
 
 
@@ -349,11 +426,14 @@ def _unpacked(data: bytes) -> tuple[Model, np.ndarray]:
     model.known = {}
     for k in PARTS:
         setattr(model, k, parts[k])
+    for name in ("share", "rest"):
+        keys, values = ([parts[f"{name}_{part}_{n}"] for n in range(ORDER + 1)] for part in ("keys", "values"))
+        setattr(model, name, ByOrder(keys, values, parts[f"{name}_missing"].tolist()))
     return model, parts["weights"]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes | float:
-    """The models as bytes, of bounded size; where labels of one kind are missing, the share of toxic ones instead.
+    """The models as bytes; where labels of one kind are missing, the share of toxic ones instead.
 
     The class models come from at most ``sample`` labelled rows outside the held-out fold, read by one
     task; the shared counts from every row.
@@ -362,7 +442,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes | flo
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < toxic < n:
         return (toxic + 0.1) / (n + 1)
-    shared = docs.sparkSession.sparkContext.broadcast(shared_counts(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(shared_model(docs, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("toxicity")

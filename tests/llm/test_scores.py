@@ -1,5 +1,6 @@
 """Quality and toxicity on small corpora with held-out rows, and on edge cases."""
 
+import collections
 import random
 import zlib
 
@@ -143,3 +144,54 @@ def test_unknown_words_say_nothing():
     ratios = dict(zip(["qqq", *WORDS, *RUDE], model.ratios(["qqq", *WORDS, *RUDE]), strict=True))
     assert min(ratios[w] for w in RUDE) > 2 > abs(ratios["qqq"])
     assert max(ratios[w] for w in WORDS) < 1
+
+
+def test_shared_counts_tell_all_ngrams_apart(documents):
+    """More n-grams than 2 ** SHARED_SLOTS: each has the share that counting without hashes gives it."""
+    rng = random.Random(8)
+    names = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(70_000)]
+    counts = collections.Counter(names)
+    marked = {f"\x02{w}\x03": c for w, c in counts.items()}
+    times = {n: collections.Counter() for n in range(2, toxicity.ORDER + 1)}
+    for w, c in marked.items():
+        for n in times:
+            for i in range(len(w) - n + 1):
+                times[n][w[i : i + n]] += c
+    assert len(times[toxicity.ORDER]) > 1 << (toxicity.SHARED_SLOTS - 1)
+    followed = collections.Counter(g[1:] for n in times for g in times[n])
+    table = toxicity.gram_table(documents(*(" ".join(names[i::50]) for i in range(50)))).toPandas()
+    assert len(table) == sum(len(t) for t in times.values())
+    got = dict(zip(zip(table["n"], table["key"], strict=True), zip(table["share"], table["rest"], strict=True), strict=True))
+    model = toxicity.Shared()
+    model.add(counts)
+    share, rest = model.model()
+    for n in times:
+        value = {g: c if n == toxicity.ORDER or g[0] == "\x02" else followed[g] for g, c in times[n].items()}
+        total, kinds = collections.Counter(), collections.Counter()
+        for g, c in value.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        some = rng.sample(sorted(w for w in counts if len(w) >= n), 300)
+        for w in some:
+            grams, end = toxicity._Grams([w]), len(w) + 1
+            g = f"\x02{w}\x03"[end - n + 1 : end + 1]
+            want = max(value[g] - 0.75, 0) / total[g[:-1]], 0.75 * kinds[g[:-1]] / total[g[:-1]]
+            key, context = grams.key(n)[end:], grams.context(n)[end:]
+            assert np.allclose(got[n, key.view(np.int64)[0]], want)
+            assert np.allclose((share.of(n, key)[0], rest.of(n, context)[0]), want)
+
+
+def test_what_is_collected_gives_the_same_ratios(documents, spark):
+    """Class models over the collected part of the shared model judge as over all of it."""
+    texts = [t for _, t, _, _ in corpus(9, 80)]
+    some = documents(*texts[:20])
+    counts = collections.Counter(w for t in texts for w in toxicity.words_of(t))
+    shared = toxicity.Shared()
+    shared.add(counts)
+    classes = [collections.Counter(w for t in texts[i:20:2] for w in set(toxicity.words_of(t))) for i in (0, 1)]
+    names = sorted(counts)
+    whole = toxicity.Model(shared.model(), *classes).ratios(names)
+    part = toxicity.Model(toxicity.shared_model(documents(*texts), some), *classes)
+    assert np.any(whole) and np.allclose(part.ratios(names), whole, atol=1e-5)
+    again, _ = toxicity._unpacked(toxicity._packed(part, np.zeros(6)))
+    assert np.array_equal(again.ratios(names), part.ratios(names))
