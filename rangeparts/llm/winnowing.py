@@ -1,7 +1,8 @@
 """Winnowing fingerprints: of each window of k-gram hashes the least, the rightmost of equal ones, with its position.
 
 Two texts that share GRAM + WINDOW - 1 bytes share a fingerprint hash, and what is shorter than GRAM
-bytes is never matched but as a whole text.
+bytes is never matched but as a whole text. Both are small, so that a text of a few words has several
+hashes, and a near copy of it some of them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of a gram, a power of two, and grams of a window.
-GRAM, WINDOW = 32, 100
+GRAM, WINDOW = 8, 8
 #: Grams that are hashed at once.
 BLOCK = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15

@@ -274,3 +274,13 @@ def test_winnowing_edges(edge_documents, documents):
     assert one.near_next == 1.0
     assert {r.fingerprint for r in winnowing.fingerprints(documents(None, "")).collect()} == {""}
     assert np.isfinite([r.near_edited for r in rows]).all()
+
+
+def test_near_copies_of_short_texts_are_alike():
+    """With a quarter replaced, three quarters are the same bytes, and some of their hashes are."""
+    rng = random.Random(10)
+    for n in (6, 8, 12, 25, 60):
+        for _ in range(40):
+            text, following = prose(rng, n), prose(rng, n)
+            a, b = winnowing.fingerprint(text), winnowing.fingerprint(winnowing.edited_text(text, following))
+            assert len(a) > 1 and 0 < winnowing.likeness(a, b)
