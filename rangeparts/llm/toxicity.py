@@ -27,10 +27,8 @@ SAMPLE = 16_384
 ORDER = 5
 #: What an n-gram's count is lowered by in the shared model.
 DISCOUNT = 0.75
-#: Characters that are thought possible (Unicode has some 160,000), and slots of all n-grams in the class models: 2 ** each.
-SHARED_SLOTS, CLASS_SLOTS = 18, 20
-#: Slots in which an n-gram may be, one after another.
-PROBES = 3
+#: Characters that are thought possible: 2 ** this. Unicode has some 160,000.
+SHARED_SLOTS = 18
 #: A word's ratio counts as MOST at most; one over CLEAR speaks for itself.
 MOST, CLEAR = 6.0, 1.5
 #: Texts whose words are looked up together, words whose n-grams are counted together, and words whose ratios are kept.
@@ -78,6 +76,14 @@ class _Grams:
         return (self.place >= n - 1) & (self.place >= 1)
 
 
+def _find(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each key among the sorted ``known`` ones, -1 where it has none."""
+    if not len(known):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, at, -1)
+
+
 class ByOrder(list):
     """A value for each key, by order; ``keys`` has the sorted keys, ``missing`` the value of any other one."""
 
@@ -86,11 +92,9 @@ class ByOrder(list):
         self.keys, self.missing = keys, missing
 
     def of(self, n: int, keys: np.ndarray) -> np.ndarray:
+        at = _find(self.keys[n], keys)
         out = np.full(len(keys), self.missing[n], dtype=np.float64)
-        if len(self.keys[n]):
-            at = np.minimum(np.searchsorted(self.keys[n], keys), len(self.keys[n]) - 1)
-            found = self.keys[n][at] == keys
-            out[found] = self[n][at[found]]
+        out[at >= 0] = self[n][at[at >= 0]]
         return out
 
 
@@ -259,11 +263,8 @@ class Model:
             share[:, c] = (counts[c] - taken) / np.maximum(total[which], 1)
             rest[:, c] = np.where(total > 0, np.bincount(which, weights=taken, minlength=len(over)) / np.maximum(total, 1), 1.0)
         kinds, share, counts = kinds[often := share.any(axis=1)], share[often], counts[:, often]
-        size = 1 << CLASS_SLOTS
-        self.shares, self.tags = np.zeros((size, 2), dtype=np.float32), np.zeros(size, dtype=np.uint32)
-        self.rests, self.marks = np.ones((size, 2), dtype=np.float32), np.zeros(size, dtype=np.uint32)
-        self._seat(kinds, share, self.shares, self.tags)
-        self._seat(over, rest, self.rests, self.marks)
+        self.kinds, self.shares = kinds, share.astype(np.float32)
+        self.over, self.rests = over, rest.astype(np.float32)
 
     @classmethod
     def _counted(cls, words: list[str], times: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -274,36 +275,6 @@ class Model:
         counts = [np.bincount(back, weights=times[grams.word[at], c], minlength=len(kinds)) for c in (0, 1)]
         return kinds, contexts[where], np.stack(counts, axis=1)
 
-    @staticmethod
-    def _place(keys: np.ndarray, probe: int) -> tuple[np.ndarray, np.ndarray]:
-        """(slot, tag) of the keys at one of their PROBES places; a tag is never 0."""
-        return (
-            ((keys >> np.uint64(64 - CLASS_SLOTS - 7 * probe)) & np.uint64((1 << CLASS_SLOTS) - 1)).astype(np.int64),
-            (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1),
-        )
-
-    @classmethod
-    def _seat(cls, keys: np.ndarray, values: np.ndarray, table: np.ndarray, tags: np.ndarray) -> None:
-        left = np.arange(len(keys))
-        for probe in range(PROBES):
-            slot, tag = cls._place(keys[left], probe)
-            free = np.flatnonzero(tags[slot] == 0)
-            seats, first = np.unique(slot[free], return_index=True)
-            seated = free[first]
-            table[seats], tags[seats] = values[left[seated]], tag[seated]
-            left = np.delete(left, seated)
-
-    @classmethod
-    def _find(cls, keys: np.ndarray, tags: np.ndarray) -> np.ndarray:
-        """The slot of each key, -1 where it has none."""
-        found = np.full(len(keys), -1)
-        for probe in range(PROBES):
-            left = np.flatnonzero(found < 0)
-            slot, tag = cls._place(keys[left], probe)
-            hit = tags[slot] == tag
-            found[left[hit]] = slot[hit]
-        return found
-
     @staticmethod
     def _highest(grams: _Grams) -> tuple[np.ndarray, ...]:
         """(key, context, place) of the longest n-gram inside the word that ends at each character, ORDER long at most."""
@@ -320,18 +291,23 @@ class Model:
         keys, contexts, at = self._highest(grams)
         if not len(at):
             return np.zeros(len(words))
+        words_at = grams.word[at]
+        keys, first, back = np.unique(keys, return_index=True, return_inverse=True)  # each n-gram is looked up once
+        # after any other context both classes give what the shared model gives
+        over = _find(self.over, contexts[first])
+        judged = np.flatnonzero(over >= 0)
+        keys, over, at = keys[judged], over[judged], at[first[judged]]
         lower = self.share.of(1, grams.key(1)[at])
         for n in range(2, ORDER + 1):
             inside = grams.known(n)[at]
             to = at[inside]
             lower[inside] = self.share.of(n, grams.key(n)[to]) + self.rest.of(n, grams.context(n)[to]) * lower[inside]
-        p = np.stack([lower, lower], axis=1)
-        slot = self._find(contexts, self.marks)
-        p[slot >= 0] *= self.rests[slot[slot >= 0]]
-        slot = self._find(keys, self.tags)
-        p[slot >= 0] += self.shares[slot[slot >= 0]]
-        ratio = np.log(np.maximum(p[:, 1], 1e-12)) - np.log(np.maximum(p[:, 0], 1e-12))
-        return np.bincount(grams.word[at], weights=ratio, minlength=len(words))
+        p = lower[:, None] * self.rests[over]
+        kind = _find(self.kinds, keys)
+        p[kind >= 0] += self.shares[kind[kind >= 0]]
+        ratio = np.zeros(len(first))
+        ratio[judged] = np.log(np.maximum(p[:, 1], 1e-12)) - np.log(np.maximum(p[:, 0], 1e-12))
+        return np.bincount(words_at, weights=ratio[back], minlength=len(words))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Of each text, by the ratios of its words: their mean, the mean of the highest hundredth, the
@@ -406,7 +382,7 @@ def train(lower: tuple[ByOrder, ByOrder], rows: list[tuple[str, int]]) -> tuple[
     return Model(lower, *counts[0]), _logistic(np.concatenate(x), np.array(y, dtype=float))
 
 
-PARTS = ("shares", "tags", "rests", "marks")
+PARTS = ("kinds", "shares", "over", "rests")
 
 
 def _packed(model: Model, weights: np.ndarray) -> bytes:

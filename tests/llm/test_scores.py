@@ -195,3 +195,15 @@ def test_what_is_collected_gives_the_same_ratios(documents, spark):
     assert np.any(whole) and np.allclose(part.ratios(names), whole, atol=1e-5)
     again, _ = toxicity._unpacked(toxicity._packed(part, np.zeros(6)))
     assert np.array_equal(again.ratios(names), part.ratios(names))
+
+
+def test_class_models_lose_no_ngram():
+    """However many there are, and whatever places their hashes ask for."""
+    rng = random.Random(11)
+    names = list({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(150_000)})
+    shared = toxicity.Shared()
+    shared.add(collections.Counter(names[:1000]))
+    model = toxicity.Model(shared.model(), collections.Counter(dict.fromkeys(names, 2)), collections.Counter({"zz": 2}))
+    some = toxicity._Grams(names[::50])
+    keys, contexts, _ = model._highest(some)
+    assert (toxicity._find(model.kinds, keys) >= 0).all() and (toxicity._find(model.over, contexts) >= 0).all()
