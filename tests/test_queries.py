@@ -23,7 +23,9 @@ def tables():
 
 def rows(columns, found):
     def plain(v):
-        return v.isoformat(" ") if isinstance(v, dt.date) else round(v, 6) if isinstance(v, float) else v
+        if isinstance(v, dt.datetime):
+            return v.isoformat(" ")
+        return v.isoformat() if isinstance(v, dt.date) else round(v, 6) if isinstance(v, float) else v
 
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return [columns[i] for i in order], sorted(str([plain(r[i]) for i in order]) for r in found)
