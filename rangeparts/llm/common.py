@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +70,16 @@ def worker_cache(name: str) -> dict:
     if kept.get("operator") != name:
         kept["operator"], kept["cache"] = name, {}
     return kept["cache"]
+
+
+def parts(batch, column: int, chars: int) -> Iterator[tuple]:
+    """(part, texts): slices of a batch with some ``chars`` characters of text each, one row at least, so that memory
+    follows the longest text and not the number of rows. Null texts are empty."""
+    at = 0
+    while at < batch.num_rows:
+        texts, size = [], 0
+        while at + len(texts) < batch.num_rows and (not texts or size < chars):
+            texts.append(batch.column(column)[at + len(texts)].as_py() or "")
+            size += len(texts[-1]) + 1
+        yield batch.slice(at, len(texts)), texts
+        at += len(texts)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeparts.llm.common import worker_cache
+from rangeparts.llm.common import parts, worker_cache
 
 SPACE = "▁"
 #: Scores of a merge-ordered vocabulary are minus the rank of the merge; a rank's weight is 1 / (rank + 1) ** THETA.
@@ -350,17 +350,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _drawn(vocabulary: Vocabulary, batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray]]]:
-    """Parts of the batches of (doc_id, key, text), of CHUNK characters about, with their texts and drawn ids."""
+    """Parts of the batches of (doc_id, key, text), with their texts and drawn ids."""
     for batch in batches:
-        done = 0
-        while done < batch.num_rows:
-            texts, size = [], 0
-            while done + len(texts) < batch.num_rows and (not texts or size < CHUNK):
-                texts.append(batch.column(2)[done + len(texts)].as_py())
-                size += len(texts[-1])
-            part = batch.slice(done, len(texts))
+        for part, texts in parts(batch, 2, CHUNK):
             yield part, texts, encode_batch(vocabulary, texts, part.column(1).to_numpy().view(np.uint64), seed)
-            done += len(texts)
 
 
 def encoded(docs: DataFrame, path: str, seed: int = SEED) -> DataFrame:

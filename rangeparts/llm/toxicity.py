@@ -2,23 +2,28 @@
 
 Each class has discounted counts of its own at the highest order; both back off to one interpolated
 Kneser-Ney model that is counted over the whole corpus. An expression that a class has not seen, or
-hardly, therefore gets nearly the same likelihood from both. A document is judged by the ratio of
-the two likelihoods, normalised by length: over all its words, and over the most toxic hundredth.
+hardly, therefore gets nearly the same likelihood from both. A document is judged by one number, the
+ratio of the two likelihoods normalised by length: the mean logarithm of the ratio over the fiftieth
+of its words that speaks most for the toxic class. Over all of the words, a few toxic ones in a long
+text would be lost in the noise of the others. The score is that number, calibrated by a logistic
+curve on texts that the models have not seen.
 """
 
 from __future__ import annotations
 
 import io
+import itertools
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeparts.llm.common import cut, fold, training_rows, worker_cache
+from rangeparts.llm.common import cut, fold, parts, training_rows, worker_cache
 
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
@@ -29,10 +34,10 @@ ORDER = 5
 DISCOUNT = 0.75
 #: Characters that are thought possible: 2 ** this. Unicode has some 160,000.
 SHARED_SLOTS = 18
-#: A word's ratio counts as MOST at most; one over CLEAR speaks for itself.
-MOST, CLEAR = 6.0, 1.5
-#: Texts whose words are looked up together, words whose n-grams are counted together, and words whose ratios are kept.
-CHUNK, WORDS, KEPT_WORDS = 500, 50_000, 150_000
+#: A word's ratio counts as MOST at most; a text is judged by its words' highest SHARE-th, one word at least.
+MOST, SHARE = 6.0, 50
+#: Characters of texts that are read together, words whose n-grams are counted together, and words whose ratios are kept.
+CHUNK, WORDS, KEPT_WORDS = 1 << 20, 50_000, 150_000
 
 WORD = re.compile(r"[^\W_]+")
 BEGIN, END = 2, 3
@@ -238,22 +243,46 @@ def shared_model(docs: DataFrame, rows: DataFrame) -> tuple[ByOrder, ByOrder]:
     return _by_order(shares, rests, (keys[order], followed[order]))
 
 
+class ClassCounts:
+    """In how many texts of each class the longest n-grams stand: sorted keys, their contexts and two columns of counts.
+
+    A text counts an n-gram once for each different word that has it. Words are let go once they are
+    counted, so memory follows the different n-grams.
+    """
+
+    def __init__(self):
+        self.keys, self.contexts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros((0, 2))
+
+    def add(self, texts: list[tuple[list[str], int]]) -> None:
+        """Words and classes (0 ordinary, 1 toxic) of some texts."""
+        number: dict[str, int] = {}
+        pairs = [(number.setdefault(w, len(number)), label) for words, label in texts for w in set(words)]
+        times = np.zeros((len(number), 2))
+        np.add.at(times, tuple(np.array(pairs, dtype=np.int64).reshape(-1, 2).T), 1)
+        names = list(number)
+        for at in range(0, len(names), WORDS):
+            grams = _Grams(names[at : at + WORDS])
+            keys, contexts, places = Model._highest(grams)
+            self._merge(keys, contexts, times[at + grams.word[places]])
+
+    def add_counts(self, other: ClassCounts) -> None:
+        self._merge(other.keys, other.contexts, other.counts)
+
+    def _merge(self, keys: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> None:
+        keys, contexts, counts = (np.concatenate(x) for x in zip((self.keys, self.contexts, self.counts), (keys, contexts, counts), strict=True))
+        self.keys, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        self.contexts = contexts[first]
+        self.counts = np.stack([np.bincount(back, weights=counts[:, c], minlength=len(first)) for c in (0, 1)], axis=1)
+
+
 class Model:
     """Kneser-Ney models of two classes over a shared one."""
 
-    def __init__(self, shared: tuple[ByOrder, ByOrder], ordinary: Counter, toxic: Counter):
-        """ordinary, toxic: in how many texts of the class each word stands."""
+    def __init__(self, shared: tuple[ByOrder, ByOrder], classes: ClassCounts):
         self.share, self.rest = shared
-        self.known: dict[str, float] = {}
-        names = [*ordinary, *(w for w in toxic if w not in ordinary)]
-        parts = []
-        for at in range(0, len(names), WORDS):
-            some = names[at : at + WORDS]
-            parts.append(self._counted(some, np.array([(ordinary.get(w, 0), toxic.get(w, 0)) for w in some], dtype=np.float64)))
-        keys, contexts, parts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64),) * 2 + (np.zeros((0, 2)),)
-        kinds, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        counts = np.stack([np.bincount(back, weights=parts[:, c], minlength=len(kinds)) for c in (0, 1)])
-        over, which = np.unique(contexts[where], return_inverse=True)
+        self.known = _Ratios(self)
+        kinds, counts = classes.keys, classes.counts.T
+        over, which = np.unique(classes.contexts, return_inverse=True)
         share, rest = np.zeros((len(kinds), 2)), np.ones((len(over), 2))
         for c in (0, 1):
             once, twice = (counts[c] == 1).sum(), (counts[c] == 2).sum()
@@ -262,19 +291,10 @@ class Model:
             total = np.bincount(which, weights=counts[c], minlength=len(over))
             share[:, c] = (counts[c] - taken) / np.maximum(total[which], 1)
             rest[:, c] = np.where(total > 0, np.bincount(which, weights=taken, minlength=len(over)) / np.maximum(total, 1), 1.0)
-        kinds, share, counts = kinds[often := share.any(axis=1)], share[often], counts[:, often]
-        self.kinds, self.shares = kinds, share.astype(np.float32)
+        often = share.any(axis=1)
+        self.kinds, self.shares = kinds[often], share[often].astype(np.float32)
         self.over, self.rests = over, rest.astype(np.float32)
 
-    @classmethod
-    def _counted(cls, words: list[str], times: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(key, context, counts) of the different n-grams of some words."""
-        grams = _Grams(words)
-        keys, contexts, at = cls._highest(grams)
-        kinds, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        counts = [np.bincount(back, weights=times[grams.word[at], c], minlength=len(kinds)) for c in (0, 1)]
-        return kinds, contexts[where], np.stack(counts, axis=1)
-
     @staticmethod
     def _highest(grams: _Grams) -> tuple[np.ndarray, ...]:
         """(key, context, place) of the longest n-gram inside the word that ends at each character, ORDER long at most."""
@@ -309,30 +329,44 @@ class Model:
         ratio[judged] = np.log(np.maximum(p[:, 1], 1e-12)) - np.log(np.maximum(p[:, 0], 1e-12))
         return np.bincount(words_at, weights=ratio[back], minlength=len(words))
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """Of each text, by the ratios of its words: their mean, the mean of the highest hundredth, the
-        excess over CLEAR of its different words, whole and by the root of their number, and the length.
-        """
-        split, known = [words_of(t) for t in texts], self.known
+    def judged(self, texts: list[str | None]) -> np.ndarray:
+        """Of each text, the mean ratio of the SHARE-th of its words that has the highest ones; 0 without words."""
+        known = self.known
         if len(known) > KEPT_WORDS:
             known.clear()
-        new = list({w for ws in split for w in ws if w not in known})
-        for at in range(0, len(new), WORDS):
-            some = new[at : at + WORDS]
-            known.update(zip(some, np.clip(self.ratios(some), -MOST, MOST).tolist(), strict=True))
-        out = np.zeros((len(texts), 5))
-        for row, words in zip(out, split, strict=True):
-            if words:
-                r = np.array([known[w] for w in words])
-                different = set(words)
-                top, over = 1 + len(r) // 100, sum(max(known[w] - CLEAR, 0.0) for w in different)
-                row[:] = (
-                    r.mean(), np.partition(r, len(r) - top)[-top:].mean(),
-                    np.log1p(over), over / np.sqrt(len(different)), np.log1p(len(r)),
-                )
+        split = [words_of(t) for t in texts]
+        at = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(split)), dtype=np.int64, count=sum(map(len, split)))
+        ratios = known.all()[at]
+        out, done = np.zeros(len(texts)), 0
+        for i, words in enumerate(split):
+            if n := len(words):
+                r, top = ratios[done : done + n], 1 + n // SHARE
+                out[i] = np.partition(r, n - top)[n - top :].mean()
+                done += n
         return out
 
 
+class _Ratios(dict):
+    """Numbers of words, and their ratios, which are worked out together for all new ones."""
+
+    def __init__(self, model: Model):
+        self.model, self.ratios = model, np.zeros(0)
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+    def clear(self) -> None:
+        super().clear()
+        self.ratios = np.zeros(0)
+
+    def all(self) -> np.ndarray:
+        new = list(itertools.islice(self, len(self.ratios), None))
+        more = [np.clip(self.model.ratios(new[at : at + WORDS]), -MOST, MOST) for at in range(0, len(new), WORDS)]
+        self.ratios = np.concatenate([self.ratios, *more])
+        return self.ratios
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     """Weights (the last is the bias) of a logistic regression on standardised features with a small ridge.
 
@@ -363,23 +397,35 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return np.r_[weights, w[-1] - weights @ mean]
 
 
-def train(lower: tuple[ByOrder, ByOrder], rows: list[tuple[str, int]]) -> tuple[Model, np.ndarray]:
-    """The models, and the weights of the document's features, which are fitted on texts that their models have not seen."""
-    halves = rows[::2], rows[1::2]
-    counts = [(Counter(), Counter()), (Counter(), Counter())]
+def train(lower: tuple[ByOrder, ByOrder], rows: Iterable[tuple[str, int]]) -> tuple[Model, np.ndarray]:
+    """The models, and the two weights of the calibration, which is fitted on texts that their models have not seen."""
+    rows = list(rows)
+    halves, counts = (rows[::2], rows[1::2]), (ClassCounts(), ClassCounts())
     for half, classes in zip(halves, counts, strict=True):
-        for text, label in half:
-            classes[label].update(set(words_of(text)))
+        for some in _by_size(half):
+            classes.add([(words_of(t), label) for t, label in some])
     x, y = [], []
     for i in (0, 1):
-        model = Model(lower, *counts[1 - i])
-        for at in range(0, len(halves[i]), CHUNK):
-            x.append(model.features([t for t, _ in halves[i][at : at + CHUNK]]))
-        y += [label for _, label in halves[i]]
-    for whole, more in zip(counts[0], counts[1], strict=True):
-        whole.update(more)
-        more.clear()
-    return Model(lower, *counts[0]), _logistic(np.concatenate(x), np.array(y, dtype=float))
+        model = Model(lower, counts[1 - i])
+        for some in _by_size(halves[i]):
+            x.append(model.judged([t for t, _ in some]))
+            y += [label for _, label in some]
+    model = None
+    counts[0].add_counts(counts[1])
+    return Model(lower, counts[0]), _logistic(np.concatenate(x)[:, None], np.array(y, dtype=float))
+
+
+def _by_size(rows: list[tuple[str, int]]) -> Iterator[list[tuple[str, int]]]:
+    """The rows in runs of CHUNK characters about."""
+    run, size = [], 0
+    for row in rows:
+        run.append(row)
+        size += len(row[0] or "")
+        if size >= CHUNK:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 PARTS = ("kinds", "shares", "over", "rests")
@@ -397,15 +443,15 @@ def _packed(model: Model, weights: np.ndarray) -> bytes:
 
 
 def _unpacked(data: bytes) -> tuple[Model, np.ndarray]:
-    parts = np.load(io.BytesIO(data))
+    stored = np.load(io.BytesIO(data))
     model = Model.__new__(Model)
-    model.known = {}
+    model.known = _Ratios(model)
     for k in PARTS:
-        setattr(model, k, parts[k])
+        setattr(model, k, stored[k])
     for name in ("share", "rest"):
-        keys, values = ([parts[f"{name}_{part}_{n}"] for n in range(ORDER + 1)] for part in ("keys", "values"))
-        setattr(model, name, ByOrder(keys, values, parts[f"{name}_missing"].tolist()))
-    return model, parts["weights"]
+        keys, values = ([stored[f"{name}_{part}_{n}"] for n in range(ORDER + 1)] for part in ("keys", "values"))
+        setattr(model, name, ByOrder(keys, values, stored[f"{name}_missing"].tolist()))
+    return model, stored["weights"]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes | float:
@@ -437,13 +483,14 @@ def _scored(docs: DataFrame, model: bytes | float) -> DataFrame:
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("toxicity")
-        models, weights = _unpacked(shared.value)
+        cache, key = worker_cache("toxicity"), zlib.crc32(shared.value)
+        if key not in cache:  # one model at a time
+            cache.clear()
+            cache[key] = _unpacked(shared.value)
+        models, weights = cache[key]
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
-                x = models.features(part.column(names.index("text")).to_pylist())
-                values = 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ weights, -35, 35)))
+            for part, texts in parts(batch, names.index("text"), CHUNK):
+                values = 1 / (1 + np.exp(-np.clip(weights[0] * models.judged(texts) + weights[1], -35, 35)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.float64())], [*names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -135,12 +135,84 @@ def test_shared_model_is_a_distribution():
         assert np.allclose(total[used] + rest[n][used], 1, atol=1e-5)
 
 
+def class_counts(ordinary, toxic):
+    """Counts of words by the number of texts that have them."""
+    classes = toxicity.ClassCounts()
+    for label, counts in enumerate((ordinary, toxic)):
+        for n in range(max(counts.values(), default=0)):
+            classes.add([([w for w, c in counts.items() if c > n], label)])
+    return classes
+
+
+def slow_ratio(word, corpus_words, classes):
+    """Logarithm of the ratio of two Kneser-Ney models, counted over strings as it is written down."""
+    top = toxicity.ORDER
+    marked = lambda w: f"\x02{w}\x03"
+    times = {n: collections.Counter() for n in range(2, top + 1)}
+    for w, c in corpus_words.items():
+        for n in times:
+            for i in range(len(marked(w)) - n + 1):
+                times[n][marked(w)[i : i + n]] += c
+    before = {g: {h[0] for h in times[n + 1] if h[1:] == g} for n in range(2, top) for g in times[n]}
+    value = {g: c if n == top or g[0] == "\x02" else max(len(before[g]), 1) for n in times for g, c in times[n].items()}
+    ends = collections.Counter(g[1] for g in times[2])
+    whole = sum(ends.values()) + 0.5 * 2**toxicity.SHARED_SLOTS
+
+    def shared(gram):
+        if len(gram) == 1:
+            return (ends[gram] + 0.5) / whole
+        same = {g: v for g, v in value.items() if len(g) == len(gram) and g[:-1] == gram[:-1]}
+        if not same:
+            return shared(gram[1:])
+        share = max(same[gram] - 0.75, 0) / sum(same.values()) if gram in same else 0
+        return share + 0.75 * len(same) / sum(same.values()) * shared(gram[1:])
+
+    longest = lambda w: [marked(w)[max(0, i - top + 1) : i + 1] for i in range(1, len(w) + 2)]
+    tables = []
+    for texts in classes:
+        counts = collections.Counter(g for t in texts for w in set(t) for g in longest(w))
+        once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+        tables.append((counts, max(0.5, once / (once + 2 * twice)) if once else 0.75))
+    total = 0.0
+    for gram in longest(word):
+        if not any(g[:-1] == gram[:-1] for counts, _ in tables for g in counts):
+            continue  # neither class has the context: both are the shared model
+        p = []
+        for counts, d in tables:
+            same = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
+            taken = {g: d if c > 1 else c for g, c in same.items()}
+            n = sum(same.values())
+            own = (same.get(gram, 0) - taken.get(gram, 0)) / n if n else 0
+            p.append(own + (sum(taken.values()) / n if n else 1) * shared(gram))
+        total += np.log(p[1]) - np.log(p[0])
+    return total
+
+
+def test_ratios_match_brute_force():
+    rng = random.Random(3)
+    small = ["ba", "bara", "kes", "kera", "liro", "abara", "ak"]
+    texts = [([rng.choice(small) for _ in range(6)] + ["zolf"] * (i % 3 == 0), int(i % 3 == 0)) for i in range(24)]
+    words = collections.Counter(w for t, _ in texts for w in t) + collections.Counter({"ralik": 2, "o": 1})
+    shared = toxicity.Shared()
+    shared.add(words)
+    classes = toxicity.ClassCounts()
+    classes.add(texts[:9])
+    classes.add(texts[9:])
+    model = toxicity.Model(shared.model(), classes)
+    names = [*words, "zzz", "zol", "barak"]
+    want = [slow_ratio(w, words, [[t for t, y in texts if y == c] for c in (0, 1)]) for w in names]
+    assert np.allclose(model.ratios(names), want, atol=1e-4) and model.ratios(["zolf"])[0] > 1
+    text = ["ba"] * 120 + ["zolf"]
+    r = sorted(np.clip(model.ratios(text), -toxicity.MOST, toxicity.MOST))
+    assert np.isclose(model.judged([" ".join(text), "", None])[0], np.mean(r[-3:])) and model.judged(["", None]).tolist() == [0, 0]
+
+
 def test_unknown_words_say_nothing():
     from collections import Counter
 
     shared = toxicity.Shared()
     shared.add(Counter(WORDS))
-    model = toxicity.Model(shared.model(), Counter({w: 5 for w in WORDS}), Counter({w: 1 for w in WORDS} | {w: 5 for w in RUDE}))
+    model = toxicity.Model(shared.model(), class_counts(Counter({w: 5 for w in WORDS}), Counter({w: 1 for w in WORDS} | {w: 5 for w in RUDE})))
     ratios = dict(zip(["qqq", *WORDS, *RUDE], model.ratios(["qqq", *WORDS, *RUDE]), strict=True))
     assert min(ratios[w] for w in RUDE) > 2 > abs(ratios["qqq"])
     assert max(ratios[w] for w in WORDS) < 1
@@ -188,12 +260,13 @@ def test_what_is_collected_gives_the_same_ratios(documents, spark):
     counts = collections.Counter(w for t in texts for w in toxicity.words_of(t))
     shared = toxicity.Shared()
     shared.add(counts)
-    classes = [collections.Counter(w for t in texts[i:20:2] for w in set(toxicity.words_of(t))) for i in (0, 1)]
+    classes = toxicity.ClassCounts()
+    classes.add([(toxicity.words_of(t), i % 2) for i, t in enumerate(texts[:20])])
     names = sorted(counts)
-    whole = toxicity.Model(shared.model(), *classes).ratios(names)
-    part = toxicity.Model(toxicity.shared_model(documents(*texts), some), *classes)
+    whole = toxicity.Model(shared.model(), classes).ratios(names)
+    part = toxicity.Model(toxicity.shared_model(documents(*texts), some), classes)
     assert np.any(whole) and np.allclose(part.ratios(names), whole, atol=1e-5)
-    again, _ = toxicity._unpacked(toxicity._packed(part, np.zeros(6)))
+    again, _ = toxicity._unpacked(toxicity._packed(part, np.zeros(2)))
     assert np.array_equal(again.ratios(names), part.ratios(names))
 
 
@@ -203,7 +276,7 @@ def test_class_models_lose_no_ngram():
     names = list({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(150_000)})
     shared = toxicity.Shared()
     shared.add(collections.Counter(names[:1000]))
-    model = toxicity.Model(shared.model(), collections.Counter(dict.fromkeys(names, 2)), collections.Counter({"zz": 2}))
+    model = toxicity.Model(shared.model(), class_counts(dict.fromkeys(names, 2), {"zz": 2}))
     some = toxicity._Grams(names[::50])
     keys, contexts, _ = model._highest(some)
     assert (toxicity._find(model.kinds, keys) >= 0).all() and (toxicity._find(model.over, contexts) >= 0).all()
