@@ -1,12 +1,14 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
-Equal lines are found by hash. Lines one edit apart share a deletion variant: a substitution at
-place i leaves the same rest when i is left out of both, an insertion leaves the shorter line. The
-variants of a whole line would be as many as its characters, so they are made last, for what two
-filters leave, neither of which loses a pair: an edit is inside one of the parts of a line, and the
-rest of the line, before and after that part, is the same in both. First the lines are cut into
-halves, and only lines that share a half with another go on; those are cut into finer parts, and
-only parts whose surroundings are shared have their deletion variants emitted.
+Equal lines are found by hash. Near lines are one edit apart: a unit put in, left out or replaced.
+The unit is a word in lines of WORDS words or more, so that the bound grows with the line, and a
+character in shorter ones. Lines one edit apart share a deletion variant: a replacement at place i
+leaves the same rest when i is left out of both, an insertion leaves the shorter line. Lines are cut
+into halves first, and only those that share a half with another go on, which loses no pair: an edit
+is in one half, and the other is the same in both. Of those all deletion variants are emitted; a
+variant is hashed in three parts, what stands in the chunks before and after the one or two chunks
+with the edit, which are hashed once for all places, and the rest of those. So a line costs what it
+has units, however long it is.
 """
 
 from __future__ import annotations
@@ -16,15 +18,17 @@ from pyspark.sql import functions as F
 
 from rangeparts.llm.common import cut
 
-#: Shorter lines (in characters) are left alone: they repeat by chance.
-MIN_CHARS = 16
-#: Shorter lines are compared for equality only.
-NEAR_CHARS = 32
-EDITS = 1
-#: Parts of a line in the finer cut, at most.
-FINE = 16
+#: Shorter lines (in characters) are left alone; blank ones always are.
+MIN_CHARS = 1
+#: Shorter lines are compared for equality only: one character is too large a part of them.
+NEAR_CHARS = 16
+#: Lines of so many words or more are edited word by word, others character by character.
+WORDS = 8
+#: Units of a chunk.
+CHUNK = 32
 #: Candidate lines up to which their places are sent to all executors (some MB) instead of shuffling the texts.
 SMALL = 100_000
+#: Stands for a doc_id that is null, so an id of this value comes last as well.
 LAST = (1 << 63) - 1
 
 PLACE = ("id", "th", "no")
@@ -35,6 +39,24 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
+class _Units:
+    """The units of a line ``s`` as columns: whether they are words, their number, and runs of them as text."""
+
+    def __init__(self, s: Column):
+        blanks = F.char_length(s) - F.char_length(F.replace(s, F.lit(" "), F.lit("")))
+        self.s, self.words = s, blanks >= WORDS - 1
+        self.n = F.when(self.words, blanks + 1).otherwise(F.char_length(s))
+
+    def first(self, k: Column) -> Column:
+        return F.when(self.words, F.call_function("substring_index", self.s, F.lit(" "), k)).otherwise(F.substring(self.s, F.lit(1), k))
+
+    def last(self, k: Column) -> Column:
+        return F.when(self.words, F.call_function("substring_index", self.s, F.lit(" "), -k)).otherwise(F.substring(self.s, self.n - k + 1, k))
+
+    def array(self) -> Column:
+        return F.when(self.words, F.split(self.s, " ")).otherwise(F.split(self.s, ""))
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """(id, th, lines): a row without an id comes after all others; th tells rows with one id and other texts apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -43,37 +65,27 @@ def _rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def _surroundings(line: Column, length: Column, most: int) -> Column:
-    """Array of (base, key, low, high), one for each part and base.
+def line_table(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
+    """(id, th, no, h1, h2, halves) of every line of at least ``min_chars`` characters that is not blank; narrow, without the texts.
 
-    ``base`` is the length of the shorter line of a pair: the line's own, or one less. It is cut into
-    parts of some 32 characters, into two at least and ``most`` at most. ``key`` is a hash of base,
-    part, and the line but for the part, which takes the characters from ``low`` (from 0) up to ``high``.
+    ``halves`` has hashes of the first and second half of the units, for a partner as long and for one
+    that is one unit shorter.
     """
-
-    def one(base: Column, j: Column, parts: Column) -> Column:
-        low, after = (base * j / parts).cast("int"), base - (base * (j + 1) / parts).cast("int")
-        high = length - after
-        key = F.xxhash64(base, j, F.substring(line, F.lit(1), low), F.substring(line, high + 1, after))
-        return F.struct(base.alias("base"), key.alias("key"), low.alias("low"), high.alias("high"))
-
-    def of(base: Column) -> Column:
-        parts = F.greatest(F.lit(2), F.least(F.lit(most), (base / 32).cast("int")))
-        return F.transform(F.sequence(F.lit(0), parts - 1), lambda j: one(base, j, parts))
-
-    return F.flatten(F.transform(F.array(length, length - 1), of))
-
-
-def line_table(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
-    """(id, th, no, h1, h2, halves) of every line of at least ``min_chars`` characters; narrow, without the texts."""
     lines = _rows(docs).select("id", "th", F.posexplode("lines").alias("no", "line"))
     lines = lines.select(*PLACE, normal(F.col("line")).alias("s"))
     length = F.char_length("s")
-    lines = lines.where(length >= min_chars)
-    halves = F.transform(_surroundings(F.col("s"), length, 2), lambda x: x["key"])
-    return lines.select(
-        *PLACE, F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), F.when(length >= near_chars, halves).alias("halves")
-    )
+    lines = lines.where(length >= max(1, min_chars))
+    units = _Units(F.col("s"))
+    lines = lines.select(*PLACE, "s", units.words.alias("words"), units.n.alias("n"))
+    units.words, units.n = F.col("words"), F.col("n")
+
+    def halves(base: Column) -> list[Column]:
+        half = F.floor(base / 2).cast("int")
+        return [F.xxhash64("words", base, F.lit(i), part) for i, part in enumerate((units.first(half), units.last(base - half)))]
+
+    keys = F.array(*halves(F.col("n")), *halves(F.col("n") - 1))
+    near = F.col("words") | (length >= near_chars)
+    return lines.select(*PLACE, F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), F.when(near, keys).alias("halves"))
 
 
 def _shared(rows: DataFrame, *key: str) -> DataFrame:
@@ -93,39 +105,73 @@ def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     )
 
 
+def _chain(units: Column, n: Column, from_end: bool) -> Column:
+    """Hashes of the first (or last) 0, 1, 2, ... chunks of an array of ``n`` units."""
+    count = F.floor(n / CHUNK).cast("int")
+
+    def chunk(j: Column) -> Column:
+        return F.slice(units, (n - (j + 1) * CHUNK if from_end else j * CHUNK) + 1, F.lit(CHUNK))
+
+    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    start = F.array(F.lit(0).cast("long"))
+    return F.aggregate(places, start, lambda done, j: F.concat(done, F.array(F.xxhash64(F.element_at(done, -1), chunk(j)))))
+
+
+def _middles(lines: DataFrame) -> DataFrame:
+    """(o, shorter, low, key, middle) of ``lines`` (o, s), for each run of chunks that an edit can be in.
+
+    ``key`` is a hash of the number of units of the shorter line of a pair, which is the line's own
+    (``shorter``) or one less, and of the chunks around the ``middle``; that begins at the unit ``low``
+    and has fewer than two chunks, or one more unit.
+    """
+    units = _Units(F.col("s"))
+    cutup = lines.select("o", units.words.alias("words"), units.n.alias("n"), units.array().alias("units"))
+    n = F.col("n")
+    chains = cutup.select("o", "words", "n", "units", _chain(F.col("units"), n, False).alias("before"), _chain(F.col("units"), n, True).alias("after"))
+
+    def around(base: Column) -> Column:
+        last = F.greatest(F.floor(base / CHUNK).cast("int") - 1, F.lit(0))
+
+        def one(a: Column) -> Column:
+            key = F.xxhash64("words", base, a, F.get("before", a), F.get("after", last - a))
+            middle = F.slice("units", a * CHUNK + 1, n - last * CHUNK)
+            return F.struct((base == n).alias("shorter"), (a * CHUNK).alias("low"), key.alias("key"), middle.alias("middle"))
+
+        return F.transform(F.sequence(F.lit(0), last), one)
+
+    return chains.select("o", F.explode(F.concat(around(n), around(n - 1))).alias("part")).select("o", "part.*")
+
+
 def _pairs(lines: DataFrame) -> DataFrame:
-    """(o, first): of the different ``lines`` (o, s), each with earlier ones that share a deletion variant."""
-    spread = lines.select("o", "s", F.char_length("s").alias("length")).select(
-        "o", "s", "length", F.explode(_surroundings(F.col("s"), F.col("length"), FINE)).alias("part")
-    )
-    rows = spread.select(
-        "o",
-        (F.col("length") == F.col("part.base")).alias("shorter"),
-        "part.key",
-        F.substring("s", F.col("part.low") + 1, F.col("part.high") - F.col("part.low")).alias("middle"),
-    )
-    rows = _shared(rows, "key")
-    width = F.char_length("middle")
+    """(o, first, at): of the different ``lines`` (o, s), each with earlier ones that share a deletion variant, and the unit that was left out."""
+    width = F.size("middle")
     left_out = F.transform(
         F.sequence(F.lit(0), width - 1),
         lambda i: F.struct(
-            F.when(F.col("shorter"), i).otherwise(-1).alias("at"),  # only substitutions need the place
-            F.concat(F.substring("middle", F.lit(1), i), F.substring(F.col("middle"), i + 2, width)).alias("rest"),
+            F.when(F.col("shorter"), i).otherwise(-1).alias("swap"),  # only a replacement needs the same place in both
+            (F.col("low") + i).alias("at"),
+            F.xxhash64(F.slice("middle", F.lit(1), i), F.slice(F.col("middle"), i + 2, width)).alias("rest"),
         ),
     )
-    itself = F.array(F.struct(F.lit(-2).alias("at"), F.col("middle").alias("rest")))
-    variants = rows.select(
-        "o", "key", F.explode(F.when(F.col("shorter"), F.concat(left_out, itself)).otherwise(left_out)).alias("v")
-    ).select("o", "key", F.col("v.at").alias("at"), F.xxhash64(F.col("v.rest")).alias("rest"))
-    variants = cut(variants)
+    itself = F.array(F.struct(F.lit(-2).alias("swap"), F.lit(-1).alias("at"), F.xxhash64("middle").alias("rest")))
+    variants = _middles(lines).select("o", "key", F.explode(F.when(F.col("shorter"), F.concat(left_out, itself)).otherwise(left_out)).alias("v"))
+    variants = cut(variants.select("o", "key", "v.*"))
     # lines that differ at one place: all are within one edit of the earliest of them
-    swapped = variants.where("at >= 0")
-    least = swapped.groupBy("key", "at", "rest").agg(F.min("o").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = swapped.join(least, ["key", "at", "rest"]).where(F.col("first") < F.col("o")).select("o", "first")
-    # a line and those that have one character more
-    whole = variants.where("at = -2").select("key", "rest", F.col("o").alias("whole"))
-    longer = variants.where("at = -1").select("key", "rest", "o").join(whole, ["key", "rest"])
-    return pairs.union(longer.select(F.greatest("o", "whole"), F.least("o", "whole"))).distinct()
+    swapped = variants.where("swap >= 0")
+    least = swapped.groupBy("key", "swap", "rest").agg(F.min("o").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = swapped.join(least, ["key", "swap", "rest"]).where(F.col("first") < F.col("o")).select("o", "first", "at")
+    # a line and those that have one unit more
+    whole = variants.where("swap = -2").select("key", "rest", F.col("o").alias("whole"))
+    longer = variants.where("swap = -1").select("key", "rest", "o", "at").join(whole, ["key", "rest"])
+    pairs = pairs.union(longer.select(F.greatest("o", "whole"), F.least("o", "whole"), "at"))
+    return pairs.groupBy("o", "first").agg(F.min("at").alias("at"))
+
+
+def _one_edit(a: Column, b: Column, at: Column) -> Column:
+    """Whether two lines have the same units but for the unit ``at``, which one of them may not have."""
+    x, y = _Units(a), _Units(b)
+    rest = F.least(x.n, y.n) - at - (x.n == y.n).cast("int")
+    return (x.words == y.words) & (F.abs(x.n - y.n) <= 1) & (x.first(at) == y.first(at)) & (x.last(rest) == y.last(rest))
 
 
 def near_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -137,7 +183,7 @@ def near_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     lines = cut(_texts(docs, candidates).select(F.struct(*PLACE).alias("o"), "s").distinct())
     pairs = _pairs(lines)
     verified = pairs.join(lines, "o").join(lines.select(F.col("o").alias("first"), F.col("s").alias("earlier")), "first")
-    verified = verified.where(F.levenshtein("s", "earlier", EDITS).between(0, EDITS))
+    verified = verified.where(_one_edit(F.col("s"), F.col("earlier"), F.col("at")))
     return verified.groupBy("o").agg(F.min("first").alias("first"))
 
 
@@ -145,8 +191,10 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int =
     """(id, th, no, first_id, first_no, near) of the lines that go.
 
     A line goes if an earlier one, by doc_id and place, is equal, or within one edit, after trimming
-    and lower-casing. Lines of fewer than ``min_chars`` characters stay. Rows without a doc_id come
-    last. A row that is given twice has its lines in one place, so neither copy loses them to the other.
+    and lower-casing; be that line kept or not. Blank lines and those of fewer than ``min_chars``
+    characters stay; lines of fewer than ``near_chars`` characters and WORDS words go for equality
+    only. Rows without a doc_id come last. A row that is given twice has its lines in one place, so
+    neither copy loses them to the other.
     """
     lines = cut(line_table(docs, min_chars, near_chars))
     classes = cut(
@@ -220,13 +268,18 @@ WITH rows AS (
   ) WHERE length(s) >= {MIN_CHARS}
 ), classes AS (
   SELECT s, min((id, no)) AS o FROM lines GROUP BY s
+), near AS (
+  SELECT o, s, string_split(s, ' ') AS w, len(string_split(s, ' ')) >= {WORDS} AS words FROM classes
+  WHERE length(s) >= {NEAR_CHARS} OR len(string_split(s, ' ')) >= {WORDS}
 ), variants AS (
-  SELECT o, s, i, left(s, i::INT) || substr(s, i::INT + 2) AS rest
-  FROM (SELECT o, s, unnest(range(length(s))) AS i FROM classes WHERE length(s) >= {NEAR_CHARS})
+  SELECT o, words, i, array_to_string(list_concat(w[1:i], w[i + 2:]), ' ') AS rest
+  FROM (SELECT o, w, words, unnest(range(len(w))) AS i FROM near WHERE words)
+  UNION ALL
+  SELECT o, words, i, left(s, i::INT) || substr(s, i::INT + 2) FROM (SELECT o, s, words, unnest(range(length(s))) AS i FROM near WHERE NOT words)
 ), pairs AS (
-  SELECT a.o, b.o AS first FROM variants a JOIN variants b ON a.rest = b.rest AND a.i = b.i AND b.o < a.o
+  SELECT a.o, b.o AS first FROM variants a JOIN variants b ON a.rest = b.rest AND a.words = b.words AND a.i = b.i AND b.o < a.o
   UNION ALL
-  SELECT greatest(a.o, b.o), least(a.o, b.o) FROM variants a JOIN classes b ON a.rest = b.s AND length(b.s) >= {NEAR_CHARS}
+  SELECT greatest(a.o, b.o), least(a.o, b.o) FROM variants a JOIN near b ON a.rest = b.s AND a.words = b.words
 ), gone AS (
   SELECT (l.id, l.no) AS o, c.o AS first, false AS near FROM lines l JOIN classes c ON l.s = c.s WHERE (l.id, l.no) <> c.o
   UNION ALL

@@ -125,31 +125,43 @@ def within_one(a, b):
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
+def units(line):
+    words = line.split(" ")
+    return (True, words) if len(words) >= linededup.WORDS else (False, list(line))
+
+
+def near(a, b):
+    (x, p), (y, q) = units(a), units(b)
+    return x == y and (x or min(len(a), len(b)) >= linededup.NEAR_CHARS) and within_one(p, q)
+
+
 def slow_lines(texts):
     seen, out = [], {}
     for d, text in enumerate(texts):
         for n, line in enumerate((text or "").split("\n")):
-            s = line.strip(" ").lower()
-            if len(s) >= linededup.MIN_CHARS:
+            if s := line.strip(" ").lower():
                 if s in {x for x, *_ in seen}:
                     out[d, n] = False
-                elif len(s) >= linededup.NEAR_CHARS and any(len(x) >= linededup.NEAR_CHARS and within_one(s, x) for x, *_ in seen):
+                elif any(near(s, x) for x, *_ in seen):
                     out[d, n] = True
                 seen.append((s, d, n))
     return out
 
 
 def one_edit(rng, line):
-    i, c = rng.randrange(len(line)), rng.choice("xyzé ")
-    return rng.choice([line[:i] + line[i + 1 :], line[:i] + c + line[i:], line[:i] + c + line[i + 1 :]])
+    """A character or a word put in, left out or replaced."""
+    x = line.split(" ") if rng.random() < 0.6 or not line else list(line)
+    i, c = rng.randrange(len(x)), rng.choice(("xyz", "é", "", "kan") if len(x) < len(line) else "xyzé ")
+    return (" " if len(x) < len(line) else "").join(rng.choice([x[:i] + x[i + 1 :], x[:i] + [c] + x[i:], x[:i] + [c] + x[i + 1 :]]))
 
 
 def line_texts(seed):
     rng = random.Random(seed)
-    lines = [prose(rng, rng.randrange(1, 30)) for _ in range(40)] + [prose(rng, 400)]
-    pool = lines + [one_edit(rng, rng.choice(lines)) for _ in range(80)] + [one_edit(rng, one_edit(rng, rng.choice(lines))) for _ in range(30)]
+    lines = [prose(rng, rng.randrange(1, 30)) for _ in range(40)] + [prose(rng, rng.randrange(60, 400)) for _ in range(6)]
+    lines += ["".join(rng.choice("abcdefghé") for _ in range(rng.randrange(10, 200))) for _ in range(8)] + ["x", "ab", "}"]
+    pool = lines + [one_edit(rng, rng.choice(lines)) for _ in range(110)] + [one_edit(rng, one_edit(rng, rng.choice(lines))) for _ in range(30)]
     pool += ["page number %d of a long report about lines" % i for i in range(12)]
-    return ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 8))) for _ in range(60)]
+    return ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 8))) for _ in range(80)]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -200,8 +212,36 @@ def test_rows_given_twice_keep_their_lines(documents):
 def test_long_lines_within_one_edit(documents):
     rng = random.Random(5)
     long = prose(rng, 3000)
-    texts = [long, long[:9000] + "q" + long[9000:], long[:100] + long[101:], edited(rng, long, 3)]
-    assert {(r.id, r.near) for r in linededup.dropped_lines(documents(*texts)).collect()} == {(1, True), (2, True)}
+    texts = [long, long[:9000] + "q" + long[9000:], long[:100] + long[101:], long.replace(" ", " again ", 1), edited(rng, edited(rng, long), 2)]
+    assert {(r.id, r.near) for r in linededup.dropped_lines(documents(*texts)).collect()} == {(1, True), (2, True), (3, True)}
+
+
+@pytest.mark.parametrize("gap", [6, 10**9])
+def test_very_long_lines(documents, gap):
+    """300,000 characters without a line end, as words and as one word, and each with one character changed."""
+    import time
+
+    rng = random.Random(6)
+    long = "".join(" " if i % (gap + 1) == gap else rng.choice("abcdefgh") for i in range(300_000))
+    texts = [long, long[:200_000] + "q" + long[200_001:], long + "x", long[:1001] + "q" + long[1002:200_000] + "q" + long[200_001:]]
+    began = time.perf_counter()
+    # the last has one edit from the second, if not from the first
+    assert {(r.id, r.first_id, r.near) for r in linededup.dropped_lines(documents(*texts)).collect()} == {(1, 0, True), (2, 0, True), (3, 1, True)}
+    assert time.perf_counter() - began < 90
+
+
+def test_short_lines_go_for_equality_only(documents):
+    got = {(r.id, r.near) for r in linededup.dropped_lines(documents("yes.", "yes.\nno.", "yes!", "", " ", "\n", "are, is anwh reenen.", "are is anwh reenen.")).collect()}
+    assert got == {(1, False), (7, True)}
+
+
+def test_any_changed_word_of_a_long_line(documents):
+    """Whatever the word, the partner is found; a second one is beyond the bound."""
+    words = [f"word{i}" for i in range(70)]
+    changed = [" ".join([*words[:i], "something else".split()[i % 2], *words[i + 1 :]]) for i in range(70)]
+    twice = " ".join(["x", *words[1:50], "y", *words[51:]])
+    got = {r.id: r.near for r in linededup.dropped_lines(documents(" ".join(words), *changed, twice)).collect()}
+    assert got == dict.fromkeys(range(1, 71), True)
 
 
 def test_line_dedup_is_native(documents):
