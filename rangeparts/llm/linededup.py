@@ -5,8 +5,8 @@ The unit is a word in lines of WORDS words or more, so that the bound grows with
 character in shorter ones. Lines one edit apart share a deletion variant: a replacement at place i
 leaves the same rest when i is left out of both, an insertion leaves the shorter line. Lines are cut
 into halves first, and only those that share a half with another go on, which loses no pair: an edit
-is in one half, and the other is the same in both. Of those all deletion variants are emitted; a
-variant is hashed in three parts, what stands in the chunks before and after the one or two chunks
+is in one half, and the other is the same in both. Of those all deletion variants are emitted that
+leave out a unit of the half that is not shared; a variant is hashed in three parts, what stands in the chunks before and after the one or two chunks
 with the edit, which are hashed once for all places, and the rest of those. So a line costs what it
 has units, however long it is.
 """
@@ -95,13 +95,13 @@ def _shared(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(id, th, no, s) of the lines at ``places``."""
-    wanted = cut(places.groupBy("id", "th").agg(F.collect_set("no").alias("nos")))
+    """(id, th, no, shared, s) of the lines at ``places`` (id, th, no, shared)."""
+    wanted = cut(places.groupBy("id", "th").agg(F.collect_list(F.struct("no", "shared")).alias("nos")))
     if wanted.agg(F.coalesce(F.sum(F.size("nos")), F.lit(0))).first()[0] <= SMALL:
         wanted = F.broadcast(wanted)
     found = _rows(docs).join(wanted, ["id", "th"])
-    return found.select("id", "th", "lines", F.explode("nos").alias("no")).select(
-        *PLACE, normal(F.element_at("lines", F.col("no") + 1)).alias("s")
+    return found.select("id", "th", "lines", F.explode("nos").alias("at")).select(
+        "id", "th", "at.*", normal(F.element_at("lines", F.col("at.no") + 1)).alias("s")
     )
 
 
@@ -118,35 +118,43 @@ def _chain(units: Column, n: Column, from_end: bool) -> Column:
 
 
 def _middles(lines: DataFrame) -> DataFrame:
-    """(o, shorter, low, key, middle) of ``lines`` (o, s), for each run of chunks that an edit can be in.
+    """(o, shorter, low, key, middle, from, to) of ``lines`` (o, shared, s), for each run of chunks that an edit can be in.
 
     ``key`` is a hash of the number of units of the shorter line of a pair, which is the line's own
     (``shorter``) or one less, and of the chunks around the ``middle``; that begins at the unit ``low``
-    and has fewer than two chunks, or one more unit.
+    and has fewer than two chunks, or one more unit. The units from ``from`` up to ``to`` (in the
+    middle, from 0) may be left out. ``shared`` has a bit for each of the halves that another line has.
     """
     units = _Units(F.col("s"))
-    cutup = lines.select("o", units.words.alias("words"), units.n.alias("n"), units.array().alias("units"))
+    cutup = lines.select("o", "shared", units.words.alias("words"), units.n.alias("n"), units.array().alias("units"))
     n = F.col("n")
-    chains = cutup.select("o", "words", "n", "units", _chain(F.col("units"), n, False).alias("before"), _chain(F.col("units"), n, True).alias("after"))
+    chains = cutup.select("o", "shared", "words", "n", "units", _chain(F.col("units"), n, False).alias("before"), _chain(F.col("units"), n, True).alias("after"))
 
-    def around(base: Column) -> Column:
+    def around(base: Column, first: int) -> Column:
+        """With the first half shared the edit is in the second, and the other way round."""
         last = F.greatest(F.floor(base / CHUNK).cast("int") - 1, F.lit(0))
+        half = F.floor(base / 2).cast("int")
+        begins, ends = (F.col("shared").bitwiseAND(F.lit(1 << (first + i))) != 0 for i in (0, 1))
+        low, high = F.when(ends, F.lit(0)).otherwise(half), F.when(begins, n).otherwise(half + (n - base))
 
         def one(a: Column) -> Column:
             key = F.xxhash64("words", base, a, F.get("before", a), F.get("after", last - a))
-            middle = F.slice("units", a * CHUNK + 1, n - last * CHUNK)
-            return F.struct((base == n).alias("shorter"), (a * CHUNK).alias("low"), key.alias("key"), middle.alias("middle"))
+            width, at = n - last * CHUNK, a * CHUNK
+            middle = F.slice("units", at + 1, width)
+            edges = F.greatest(low - at, F.lit(0)).alias("from"), F.least(high - at, width).alias("to")
+            return F.struct((base == n).alias("shorter"), at.alias("low"), key.alias("key"), middle.alias("middle"), *edges)
 
-        return F.transform(F.sequence(F.lit(0), last), one)
+        some = F.filter(F.transform(F.sequence(F.lit(0), last), one), lambda x: x["from"] < x["to"])
+        return F.when(begins | ends, some).otherwise(F.slice(some, F.lit(1), F.lit(0)))
 
-    return chains.select("o", F.explode(F.concat(around(n), around(n - 1))).alias("part")).select("o", "part.*")
+    return chains.select("o", F.explode(F.concat(around(n, 0), around(n - 1, 2))).alias("part")).select("o", "part.*")
 
 
 def _pairs(lines: DataFrame) -> DataFrame:
-    """(o, first, at): of the different ``lines`` (o, s), each with earlier ones that share a deletion variant, and the unit that was left out."""
+    """(o, first, at): of the different ``lines`` (o, shared, s), each with earlier ones that share a deletion variant, and the unit that was left out."""
     width = F.size("middle")
     left_out = F.transform(
-        F.sequence(F.lit(0), width - 1),
+        F.sequence(F.col("from"), F.col("to") - 1),
         lambda i: F.struct(
             F.when(F.col("shorter"), i).otherwise(-1).alias("swap"),  # only a replacement needs the same place in both
             (F.col("low") + i).alias("at"),
@@ -177,11 +185,12 @@ def _one_edit(a: Column, b: Column, at: Column) -> Column:
 def near_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(o, first): of the different lines, those with an earlier line within one edit, and the earliest such line."""
     keys = classes.where("o.halves is not null").select(
-        *(F.col(f"o.{c}").alias(c) for c in PLACE), F.explode("o.halves").alias("key")
+        *(F.col(f"o.{c}").alias(c) for c in PLACE), F.posexplode("o.halves").alias("half", "key")
     )
-    candidates = _shared(keys, "key").select(*PLACE).distinct()
-    lines = cut(_texts(docs, candidates).select(F.struct(*PLACE).alias("o"), "s").distinct())
+    candidates = _shared(keys, "key").groupBy(*PLACE).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("half"))).alias("shared"))
+    lines = cut(_texts(docs, candidates).select(F.struct(*PLACE).alias("o"), "shared", "s").distinct())
     pairs = _pairs(lines)
+    lines = lines.drop("shared")
     verified = pairs.join(lines, "o").join(lines.select(F.col("o").alias("first"), F.col("s").alias("earlier")), "first")
     verified = verified.where(_one_edit(F.col("s"), F.col("earlier"), F.col("at")))
     return verified.groupBy("o").agg(F.min("first").alias("first"))

@@ -244,6 +244,18 @@ def test_any_changed_word_of_a_long_line(documents):
     assert got == dict.fromkeys(range(1, 71), True)
 
 
+@pytest.mark.parametrize("n", [8, 31, 64, 65, 128])
+def test_a_word_put_in_anywhere(documents, n):
+    """At every place of lines that are as long as some chunks, or a little longer; and the longer line may be the earlier one."""
+    rng = random.Random(n)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    longer = [" ".join([*base[:i], "new", *base[i:]]) for i in range(n + 1)]
+    assert {r.id for r in linededup.dropped_lines(documents(" ".join(base), *longer)).collect()} == set(range(1, n + 2))
+    others = [[f"w{rng.randrange(10**9)}" for _ in range(n + 1)] for _ in range(n + 1)]
+    pairs = [x for i, w in enumerate(others) for x in (" ".join(w), " ".join(w[:i] + w[i + 1 :]))]
+    assert {(r.id, r.first_id) for r in linededup.dropped_lines(documents(*pairs)).collect()} == {(2 * i + 1, 2 * i) for i in range(n + 1)}
+
+
 def test_line_dedup_is_native(documents):
     plan = linededup.report(documents("a"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))
