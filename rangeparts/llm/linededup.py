@@ -42,10 +42,15 @@ def normal(line: Column) -> Column:
 class _Units:
     """The units of a line ``s`` as columns: whether they are words, their number, and runs of them as text."""
 
-    def __init__(self, s: Column):
-        blanks = F.char_length(s) - F.char_length(F.replace(s, F.lit(" "), F.lit("")))
-        self.s, self.words = s, blanks >= WORDS - 1
-        self.n = F.when(self.words, blanks + 1).otherwise(F.char_length(s))
+    def __init__(self, s: str):
+        """Of the column ``s``, of rows that have the columns of ``known`` for it."""
+        self.s, self.words, self.n = F.col(s), F.col(f"{s}_words"), F.col(f"{s}_n")
+
+    @staticmethod
+    def known(s: str) -> list[Column]:
+        blanks = F.char_length(s) - F.char_length(F.replace(F.col(s), F.lit(" "), F.lit("")))
+        words = blanks >= WORDS - 1
+        return [words.alias(f"{s}_words"), F.when(words, blanks + 1).otherwise(F.char_length(s)).alias(f"{s}_n")]
 
     def first(self, k: Column) -> Column:
         return F.when(self.words, F.call_function("substring_index", self.s, F.lit(" "), k)).otherwise(F.substring(self.s, F.lit(1), k))
@@ -75,17 +80,18 @@ def line_table(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int = NE
     lines = lines.select(*PLACE, normal(F.col("line")).alias("s"))
     length = F.char_length("s")
     lines = lines.where(length >= max(1, min_chars))
-    units = _Units(F.col("s"))
-    lines = lines.select(*PLACE, "s", units.words.alias("words"), units.n.alias("n"))
-    units.words, units.n = F.col("words"), F.col("n")
-
-    def halves(base: Column) -> list[Column]:
-        half = F.floor(base / 2).cast("int")
-        return [F.xxhash64("words", base, F.lit(i), part) for i, part in enumerate((units.first(half), units.last(base - half)))]
-
-    keys = F.array(*halves(F.col("n")), *halves(F.col("n") - 1))
-    near = F.col("words") | (length >= near_chars)
-    return lines.select(*PLACE, F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), F.when(near, keys).alias("halves"))
+    lines = lines.select(*PLACE, "s", length.alias("length"), *_Units.known("s"))
+    units = _Units("s")
+    near, n, half = units.words | (F.col("length") >= near_chars), units.n, F.floor(units.n / 2).cast("int")
+    odd = n % 2 == 1  # of the four halves, two are the same units
+    parts = units.first(half), units.last(n - half), F.when(odd, units.last(half)).otherwise(units.first(half - 1))
+    lines = lines.select(
+        *PLACE, F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), "s_words", "s_n",
+        *(F.when(near, F.xxhash64(x)).alias(f"x{i}") for i, x in enumerate(parts)),
+    )
+    a, b = F.when(odd, F.col("x0")).otherwise(F.col("x2")), F.when(odd, F.col("x2")).otherwise(F.col("x1"))
+    keys = [F.xxhash64("s_words", base, F.lit(i % 2), x) for i, (base, x) in enumerate(((n, "x0"), (n, "x1"), (n - 1, a), (n - 1, b)))]
+    return lines.select(*PLACE, "h1", "h2", F.when(F.col("x0").isNotNull(), F.array(*keys)).alias("halves"))
 
 
 def _shared(rows: DataFrame, *key: str) -> DataFrame:
@@ -95,14 +101,15 @@ def _shared(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(id, th, no, shared, s) of the lines at ``places`` (id, th, no, shared)."""
+    """(id, th, no, shared, s, and what is known of its units) of the lines at ``places`` (id, th, no, shared)."""
     wanted = cut(places.groupBy("id", "th").agg(F.collect_list(F.struct("no", "shared")).alias("nos")))
     if wanted.agg(F.coalesce(F.sum(F.size("nos")), F.lit(0))).first()[0] <= SMALL:
         wanted = F.broadcast(wanted)
     found = _rows(docs).join(wanted, ["id", "th"])
-    return found.select("id", "th", "lines", F.explode("nos").alias("at")).select(
+    found = found.select("id", "th", "lines", F.explode("nos").alias("at")).select(
         "id", "th", "at.*", normal(F.element_at("lines", F.col("at.no") + 1)).alias("s")
     )
+    return found.select("*", *_Units.known("s"))
 
 
 def _chain(units: Column, n: Column, from_end: bool) -> Column:
@@ -125,8 +132,7 @@ def _middles(lines: DataFrame) -> DataFrame:
     and has fewer than two chunks, or one more unit. The units from ``from`` up to ``to`` (in the
     middle, from 0) may be left out. ``shared`` has a bit for each of the halves that another line has.
     """
-    units = _Units(F.col("s"))
-    cutup = lines.select("o", "shared", units.words.alias("words"), units.n.alias("n"), units.array().alias("units"))
+    cutup = lines.select("o", "shared", F.col("s_words").alias("words"), F.col("s_n").alias("n"), _Units("s").array().alias("units"))
     n = F.col("n")
     chains = cutup.select("o", "shared", "words", "n", "units", _chain(F.col("units"), n, False).alias("before"), _chain(F.col("units"), n, True).alias("after"))
 
@@ -175,7 +181,7 @@ def _pairs(lines: DataFrame) -> DataFrame:
     return pairs.groupBy("o", "first").agg(F.min("at").alias("at"))
 
 
-def _one_edit(a: Column, b: Column, at: Column) -> Column:
+def _one_edit(a: str, b: str, at: Column) -> Column:
     """Whether two lines have the same units but for the unit ``at``, which one of them may not have."""
     x, y = _Units(a), _Units(b)
     rest = F.least(x.n, y.n) - at - (x.n == y.n).cast("int")
@@ -188,11 +194,11 @@ def near_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
         *(F.col(f"o.{c}").alias(c) for c in PLACE), F.posexplode("o.halves").alias("half", "key")
     )
     candidates = _shared(keys, "key").groupBy(*PLACE).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("half"))).alias("shared"))
-    lines = cut(_texts(docs, candidates).select(F.struct(*PLACE).alias("o"), "shared", "s").distinct())
+    lines = cut(_texts(docs, candidates).select(F.struct(*PLACE).alias("o"), "shared", "s", "s_words", "s_n").distinct())
     pairs = _pairs(lines)
     lines = lines.drop("shared")
-    verified = pairs.join(lines, "o").join(lines.select(F.col("o").alias("first"), F.col("s").alias("earlier")), "first")
-    verified = verified.where(_one_edit(F.col("s"), F.col("earlier"), F.col("at")))
+    verified = pairs.join(lines, "o").join(lines.toDF("first", "e", "e_words", "e_n"), "first")
+    verified = verified.where(_one_edit("s", "e", F.col("at")))
     return verified.groupBy("o").agg(F.min("first").alias("first"))
 
 
