@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rangeparts.llm.common import cut, worker_cache
+from rangeparts.llm.common import cut, parts, worker_cache
 
 CAPACITY = 1024
 END_ID = 2
@@ -34,6 +34,8 @@ NEAR_BEST = 1.0005
 RANKED = 50_000
 #: Words whose ids a worker keeps, of those at the beginning of a line and of the others.
 KEPT_WORDS = 200_000
+#: Characters of texts that are encoded together.
+CHUNK = 1 << 20
 
 
 # -- tokens ------------------------------------------------------------------------------------
@@ -59,7 +61,8 @@ class Encoder:
     spaces and line ends between other characters, where that vocabulary's pattern always cuts, and
     the ids of the parts are kept. Parts of Latin letters, digits and ASCII signs are encoded with the
     same merges by ``tiktoken``, which takes a third of the time; all others by ``tokenizers``, as the
-    libraries may know different versions of the character classes.
+    libraries may know different versions of the character classes. A text with the string of an added
+    token, such as <|endoftext|>, goes to ``tokenizers`` whole, which takes it for that token.
     """
 
     def __init__(self, path: str):
@@ -69,13 +72,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.first, self.later = _Known(self._ids, ""), _Known(self._ids, " ")
         self.latin = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-ɏ]*").fullmatch
         self.other_blanks = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.fast = self._fast(spec["model"], {t["content"] for t in spec["added_tokens"]})
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.fast = self._fast(spec["model"], set(self.added))
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are written as this machine has them: little-endian, 32 bits")
         self.line_end = self._ids("\n")
@@ -98,7 +101,10 @@ class Encoder:
     def _ids(self, part: str) -> bytes:
         if self.fast is not None and self.latin(part):
             return array("I", self.fast.encode_ordinary(part)).tobytes()
-        return array("I", self.whole.encode(part, add_special_tokens=False).ids).tobytes()
+        return self._whole(part)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _plain(self, text: str) -> bool:
         """Whether all white space is single spaces and line ends between other characters."""
@@ -107,6 +113,8 @@ class Encoder:
         return not any(run in text for run in ("  ", " \n", "\n ", "\n\n"))
 
     def encode(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return self._whole(text)
         if not self._plain(text):  # runs of white space are cut by other rules
             return self._ids(text)
         out, first, later = [], self.first.__getitem__, self.later.__getitem__
@@ -133,10 +141,10 @@ def _piece_batches(path: str, end_id: int, capacity: int, with_ids: bool):
         encoder = cache.get(path) or cache.setdefault(path, Encoder(path))
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
+            for rows, texts in parts(batch, 1, CHUNK):
                 columns = [[] for _ in range(6)]
-                for doc_id, text in zip(batch.column(0).slice(at, 1000).to_pylist(), batch.column(1).slice(at, 1000), strict=True):
-                    ids = encoder.encode(text.as_py() or "") + end
+                for doc_id, text in zip(rows.column(0).to_pylist(), texts, strict=True):
+                    ids = encoder.encode(text) + end
                     for piece, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
                         part = ids[4 * start : 4 * (start + length)]
                         row = (doc_id, piece, start, length, zlib.crc32(part), np.frombuffer(part, dtype="<i4") if with_ids else None)

@@ -95,10 +95,22 @@ def encoder():
     return packing.Encoder(BPE)
 
 
+@pytest.fixture(scope="module")
+def fresh():
+    return Tokenizer.from_file(BPE)
+
+
 @settings(max_examples=400, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'sZé.,1²日　\xa0<|"), st.characters(codec="utf-8")), max_size=40))
-def test_ids_are_those_of_the_library(encoder, text):
-    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.whole.encode(text, add_special_tokens=False).ids
+@given(st.lists(st.one_of(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'sZé.,1²日　\xa0<|"), st.characters(codec="utf-8")), max_size=20), st.just("<|endoftext|>")), max_size=3))
+def test_ids_are_those_of_the_library(encoder, fresh, texts):
+    text = "".join(texts)
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_are_those_of_the_library(encoder, fresh):
+    for text in ("x<|endoftext|>", "<|endoftext|>", "a <|endoftext|> b\nc", "a <|endoftext|", "é <|endoftext|><|endoftext|>\n\n"):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode("x<|endoftext|>"), "<u4").tolist() == [87, 50256]
 
 
 @settings(max_examples=60, deadline=None)
@@ -149,7 +161,6 @@ def test_packed_documents(documents, edge_documents):
     rng = random.Random(5)
     texts = [" ".join(rng.choice(("alpha", "beta", "gamma")) for _ in range(rng.randrange(0, 400))) for _ in range(120)]
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     for docs in (documents(*texts), edge_documents):
         rows = packing.packed(docs, BPE, capacity=256, with_ids=True).collect()
         want = collections.Counter()
