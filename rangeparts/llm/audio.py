@@ -17,18 +17,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rangeparts.llm.common import parts
+
 #: Payloads are padded with zeros to a positive multiple of so many bytes.
 UNIT = 64
-RATE = 16_000
-#: Resampling by UP / DOWN, with TAPS taps of the filter for each output.
-UP, DOWN, TAPS = 1, 2, 24
+RATE = 12_000
+#: Resampling by UP / DOWN, to 8,000 samples a second, with TAPS taps of the filter for each output.
+UP, DOWN, TAPS = 2, 3, 24
 FRAME, HOP, MELS = 256, 128, 24
 #: Frames of a tensor.
 PATCH = 64
 #: Decibels over the median at which a segment begins, and under which it ends.
 RISE, FALL = 6.0, 3.0
 #: Output samples that are computed at once; a multiple of HOP.
-BLOCK = HOP * 4096
+BLOCK = HOP * 1024
+#: Characters of texts that are worked on together.
+CHUNK = 1 << 20
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -57,12 +61,13 @@ def samples_of(media: bytes) -> tuple[bytes, int]:
 
 
 def _taps(up: int, down: int, taps: int) -> np.ndarray:
-    """(up, taps): for each phase a low-pass filter, a windowed sinc, whose taps sum up to one."""
-    n = up * taps
-    t = np.arange(n) - (n - 1) / 2
-    h = np.sinc(t / max(up, down)) * np.hamming(n)
-    phases = h.reshape(taps, up).T[:, ::-1]
-    return np.ascontiguousarray(phases / phases.sum(axis=1, keepdims=True)).astype(np.float32)
+    """(up, taps): for each phase a low-pass filter, a windowed sinc, whose taps sum up to one.
+
+    The tap j of a phase weighs the sample j - taps / 2 after the one at or before the output.
+    """
+    t = np.arange(up)[:, None] / up - (np.arange(taps) - taps // 2)  # samples from each one to the output
+    h = np.sinc(t * min(1.0, up / down)) * (0.54 + 0.46 * np.cos(2 * np.pi * t / (taps + 2)))
+    return (h / h.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 _FILTER = _taps(UP, DOWN, TAPS)
@@ -78,8 +83,12 @@ def resampled(x: np.ndarray, first: int, count: int) -> np.ndarray:
     low, high = max(begin, 0), min(end, len(x))
     if high > low:
         part[low - begin : high - begin] = x[low:high]
-    windows = np.lib.stride_tricks.sliding_window_view(part, TAPS)[base - begin - TAPS // 2]
-    return np.einsum("ij,ij->i", windows, _FILTER[phase]) if UP > 1 else windows @ _FILTER[0]
+    windows = np.lib.stride_tricks.sliding_window_view(part, TAPS)
+    out = np.empty(count, dtype=np.float32)
+    for p in range(UP):  # the outputs of a phase share its filter
+        at = np.flatnonzero(phase == p)
+        out[at] = windows[base[at] - begin - TAPS // 2] @ _FILTER[p]
+    return out
 
 
 def _mel_bands(rate: float) -> np.ndarray:
@@ -169,11 +178,10 @@ def media_column(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                made = [payload(t.as_py()) for t in part.column(1)]
+            for rows, texts in parts(batch, 1, CHUNK):
+                made = [payload(t) for t in texts]
                 media = pa.array([wav(p) for p, _ in made], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for _, n in made], pa.int64()), media], ["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([n for _, n in made], pa.int64()), media], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -184,11 +192,9 @@ def feature_column(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                files = (m.as_py() for m in part.column(names.index("media")))
-                made = [None if m is None else stored(features(samples_of(m)[0])) for m in files]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], [*names, "features"])
+            for rows, files in parts(batch, names.index("media"), CHUNK):
+                made = pa.array([stored(features(samples_of(m)[0])) if m else None for m in files], pa.binary())
+                yield pa.RecordBatch.from_arrays([*rows.columns, made], [*names, "features"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields)
     return media.mapInArrow(run, schema + ", features binary")
@@ -197,28 +203,31 @@ def feature_column(media: DataFrame) -> DataFrame:
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def digest(text: str | None) -> tuple:
+    """What the file of a text gives back, and its features, read back too: DIGEST without the id."""
+    made, n = payload(text)
+    media = wav(made)
+    back, _ = samples_of(media)
+    data = stored(features(back))
+    table = read(data)
+    feature = f"{table.num_rows}:{sum(table['loud_frames'].to_pylist())}:{table['end_s'][-1].as_py():.3f}:{hashlib.sha256(data).hexdigest()}"
+    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, any others): what the stored file gives back, and its features.
 
     ``feature`` has the numbers of tensors and loud frames, the end of the last span, and the SHA-256 of
-    the stored features. Equal texts have equal values; a null text is an empty one. No rows give no rows.
+    the stored features. Equal texts have equal values; a null text is an empty one. No rows give no
+    rows. Files and features are those of ``media_column`` and ``feature_column``, but are let go text by text.
     """
     names = [c.split()[0] for c in DIGEST.split(", ")]
+    kinds = [pa.string() if c.endswith("string") else pa.int64() for c in DIGEST.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, n, media, data in zip(*(batch.column(i) for i in range(4)), strict=True):
-                media, data = media.as_py(), data.as_py()
-                back, _ = samples_of(media)
-                made = read(data)
-                text = f"{made.num_rows}:{sum(made['loud_frames'].to_pylist())}:{made['end_s'][-1].as_py():.3f}:{hashlib.sha256(data).hexdigest()}"
-                rows.append((
-                    doc_id.as_py(), n.as_py(), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]),
-                    len(media), hashlib.sha256(media).hexdigest(), text,
-                ))
-            kinds = [pa.string() if c.endswith("string") else pa.int64() for c in DIGEST.split(", ")]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    return feature_column(media_column(docs)).mapInArrow(run, DIGEST)
+            for rows, texts in parts(batch, 1, CHUNK):
+                columns = zip(*map(digest, texts), strict=True)
+                yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds[1:], strict=True))], names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGEST)

@@ -225,6 +225,68 @@ def test_resampling_matches_the_definition():
     assert np.allclose(audio.resampled(x, 100, 50), got[100:150], atol=1e-5)
 
 
+def test_a_tone_stays_in_its_place():
+    """Resampled, it is the tone at the other rate, without a shift."""
+    rate = audio.RATE * audio.UP / audio.DOWN
+    for f in (200, 900, 2000):
+        got = audio.resampled(np.sin(2 * np.pi * f * np.arange(3000) / audio.RATE).astype(np.float32), 100, 1000)
+        assert np.allclose(got, np.sin(2 * np.pi * f * np.arange(100, 1100) / rate), atol=0.03)
+    assert np.abs(audio.resampled(np.sin(2 * np.pi * 5500 * np.arange(3000) / audio.RATE).astype(np.float32), 100, 1000)).max() < 0.1
+
+
+def slow_features(samples):
+    """(log-mel frames, loud frames) by loops over frames, bands and states."""
+    x = (np.frombuffer(samples, np.uint8).astype(float) - 128) / 128
+    n = -(-len(x) * audio.UP // audio.DOWN)
+
+    def out(i):
+        at, phase = divmod(i * audio.DOWN, audio.UP)
+        at -= audio.TAPS // 2
+        return sum(float(audio._FILTER[phase][k]) * x[at + k] for k in range(audio.TAPS) if 0 <= at + k < len(x))
+
+    top = 2595 * np.log10(1 + audio.RATE * audio.UP / audio.DOWN / 2 / 700)
+    edges = [700 * (10 ** (top * k / (audio.MELS + 1) / 2595) - 1) * audio.FRAME * audio.DOWN / audio.UP / audio.RATE for k in range(audio.MELS + 2)]
+    mel = []
+    for frame in range(1 + n // audio.HOP):
+        y = np.array([out(frame * audio.HOP - audio.FRAME // 2 + k) * (0.5 - 0.5 * np.cos(2 * np.pi * k / (audio.FRAME - 1))) for k in range(audio.FRAME)])
+        k = np.arange(audio.FRAME)
+        power = [abs((y * np.exp(-2j * np.pi * b * k / audio.FRAME)).sum()) ** 2 for b in range(audio.FRAME // 2 + 1)]
+        row = []
+        for m in range(audio.MELS):
+            a, b, c = edges[m : m + 3]
+            row.append(10 * np.log10(sum(p * max(0, min((i - a) / (b - a), (c - i) / (c - b))) for i, p in enumerate(power)) + 1e-6))
+        mel.append(row)
+    energy = [sum(r) / len(r) for r in mel]
+    median, loud, state = np.median(energy), [], False
+    for e in energy:
+        state = e - median >= audio.RISE if not state else e - median >= audio.FALL
+        loud.append(state)
+    return np.array(mel), loud
+
+
+def test_features_match_brute_force():
+    text = "Some words of a text, and then é" + "ÿ\x00" * 700 + " the quiet end of it " * 60
+    samples = audio.payload(text)[0]
+    mel, loud = slow_features(samples)
+    assert np.allclose(audio.log_mel(samples), mel, atol=0.02)
+    table = audio.read(audio.stored(audio.features(samples)))
+    assert sum(table["loud_frames"].to_pylist()) == sum(loud) > 0
+    tensors = table["log_mel"].combine_chunks().to_numpy_ndarray().reshape(-1, audio.MELS)
+    assert np.allclose(tensors[: len(mel)], mel, atol=0.03) and (tensors[len(mel) :] == -60).all()
+    feature = audio.digest(text)[-1].split(":")
+    assert feature[:3] == [str(-(-len(mel) // audio.PATCH)), str(sum(loud)), f"{len(samples) / audio.RATE:.3f}"]
+
+
+def test_digests_are_of_the_columns(documents):
+    """The query's values are those of the stored files and features."""
+    docs = documents("a text", None, "another " * 900)
+    files = {r.doc_id: r for r in audio.feature_column(audio.media_column(docs)).collect()}
+    for r in audio.digests(docs).collect():
+        f = files[r.doc_id]
+        assert (r.n_bytes, r.media_bytes, r.media_sha256) == (f.n_bytes, len(f.media), hashlib.sha256(f.media).hexdigest())
+        assert r.feature.endswith(hashlib.sha256(f.features).hexdigest())
+
+
 def test_a_tone_is_in_its_band():
     t = np.arange(16_000)
     low, high = (np.uint8(128 + 100 * np.sin(2 * np.pi * f * t / audio.RATE)).tobytes() for f in (300, 3000))
