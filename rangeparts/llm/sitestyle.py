@@ -5,7 +5,8 @@ its tag and class, and those of all elements above it, are the same. A style nod
 important the more its presentation (the sequence of its children) and its contents (texts, links)
 differ between pages, by their entropies; what looks and reads the same everywhere is a site's
 furniture. Branches of low importance are cut from each page, together with those that their tags,
-roles and class names declare to be furniture. What is left of the article is its main text.
+roles and class names declare to be furniture: a menu, an advert or a footer that differs from page
+to page is as important to the tree as the article is. What is left of the article is its main text.
 """
 
 from __future__ import annotations
@@ -14,20 +15,22 @@ import html
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeparts.llm.common import cut
+from rangeparts.llm.common import cut, parts
 
 #: Branches with less importance are cut, if so many different pages of the host have them.
 LOW, MIN_PAGES = 0.2, 8
 #: Weight that a child's importance keeps in its parent's, by number of children.
 DECAY = 0.9
-#: Cut branches up to which their table is sent to all executors (some MB); beyond, pages and branches are shuffled by host.
-SMALL = 200_000
+#: Cut branches up to which their table is sent to all executors (some MB); beyond, pages and branches are shuffled by host,
+#: each host dealt to SALTS groups of pages.
+SMALL, SALTS = 200_000, 64
+#: Characters of pages that are parsed together.
+CHUNK = 1 << 22
 
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -224,10 +227,9 @@ ROWS = "host string, node long, parent long, kind int, value long, page long"
 def _style_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each element of each page: its presentation (kind 0) and its contents (kind 1), once for each page."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
+        for rows, texts in parts(batch, 1, CHUNK):
             columns: list[list] = [[] for _ in range(6)]
-            for url, text in zip(batch.column(0).slice(at, 500).to_pylist(), batch.column(1).slice(at, 500), strict=True):
-                text = text.as_py() or ""
+            for url, text in zip(rows.column(0).to_pylist(), texts, strict=True):
                 page, host = xxhash.xxh64_intdigest(text) >> 1, host_of(url)
                 seen = set()
                 for node in nodes(parse(text)):
@@ -279,13 +281,18 @@ def style_nodes(pages: DataFrame) -> DataFrame:
     )
 
 
-def importances(nodes_of_hosts: DataFrame) -> DataFrame:
-    """(host, node, pages, importance): presentation and contents of a style node and of all below it.
+def importances(nodes_of_hosts: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, node, pages, importance) of the style nodes that ``min_pages`` pages have: presentation and contents of a node and of all below it.
 
-    A host's style nodes are one group: they are as many as its templates have elements, not as its pages.
+    A child that fewer pages have says nothing of the site and counts as important. So the group of a host
+    has the elements of its templates, and not those that single pages make up.
     """
+    often = F.col("pages") >= min_pages
+    rare = nodes_of_hosts.where(~often).groupBy("host", "parent").agg(F.count("*").alias("rare"))
+    kept = nodes_of_hosts.where(often).join(rare.withColumnRenamed("parent", "node"), ["host", "node"], "left")
 
     def merged(pdf):
+        pdf["rare"] = pdf["rare"].fillna(0).astype(int)
         rows = {r.node: r for r in pdf.itertuples()}
         below: dict[int, list[int]] = {}
         for r in rows.values():
@@ -297,15 +304,16 @@ def importances(nodes_of_hosts: DataFrame) -> DataFrame:
         value: dict[int, float] = {}
         for node in reversed(order):
             r = rows[node]
-            parts = [value[c] for c in below.get(node, ())] + [float(r.contents)] * bool(r.texts)
-            inner = float(np.mean(parts)) if parts else float(r.presentation)
-            keep = DECAY ** len(below.get(node, ())) if below.get(node) else 1.0
+            own = [value[c] for c in below.get(node, ())] + [float(r.contents)] * bool(r.texts)
+            count, children = len(own) + r.rare, len(below.get(node, ())) + r.rare
+            inner = (sum(own) + r.rare) / count if count else float(r.presentation)
+            keep = DECAY**children if children else 1.0
             value[node] = (1 - keep) * float(r.presentation) + keep * inner
         pdf = pdf[["host", "node", "pages"]].copy()
         pdf["importance"] = [value.get(n, 1.0) for n in pdf["node"]]
         return pdf
 
-    return nodes_of_hosts.groupBy("host").applyInPandas(merged, "host string, node long, pages long, importance double")
+    return kept.groupBy("host").applyInPandas(merged, "host string, node long, pages long, importance double")
 
 
 TEXT = "page_id long, url string, text string, n_chars long"
@@ -314,12 +322,11 @@ TEXT = "page_id long, url string, text string, n_chars long"
 def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in TEXT.split(", ")]
     for batch in batches:
-        texts = [
-            "\n".join(blocks(parse(page.as_py() or ""), frozenset(low.as_py() or ())))
-            for page, low in zip(batch.column(2), batch.column(3), strict=True)
-        ]
-        lengths = pa.array([len(t) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), lengths], names)
+        for rows, pages in parts(batch, 2, CHUNK):
+            cuts = (frozenset(low.as_py() or ()) for low in rows.column(3))
+            texts = ["\n".join(blocks(parse(page), low)) for page, low in zip(pages, cuts, strict=True)]
+            lengths = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string()), lengths], names)
 
 
 def main_texts(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -329,7 +336,7 @@ def main_texts(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -
     empty text, as has one that is all furniture. Pages without a url are one host. Repeated rows give
     repeated rows. No rows give no rows.
     """
-    found = importances(style_nodes(pages)).where((F.col("importance") < low) & (F.col("pages") >= min_pages))
+    found = importances(style_nodes(pages), min_pages).where(F.col("importance") < low)
     branches = cut(found.groupBy("host").agg(F.collect_list("node").alias("low"), F.count("*").alias("n")))
     size = branches.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     branches = branches.select(F.col("host").alias("branch_host"), "low")
@@ -337,5 +344,10 @@ def main_texts(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -
         F.lower(F.trim(F.coalesce("url", F.lit("")))), r"(?s)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?|[:/?#].*$", ""
     )
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", host.alias("host"))
-    joined = rows.join(F.broadcast(branches) if size <= SMALL else branches, F.col("host") == F.col("branch_host"), "left")
+    if size <= SMALL:
+        joined = rows.join(F.broadcast(branches), F.col("host") == F.col("branch_host"), "left")
+    else:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        branches = branches.withColumn("branch_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(branches, (F.col("host") == F.col("branch_host")) & (F.col("salt") == F.col("branch_salt")), "left")
     return joined.select("page_id", "url", "html", "low").mapInArrow(_extract_batches, TEXT)
