@@ -43,14 +43,16 @@ class _Units:
     """The units of a line ``s`` as columns: whether they are words, their number, and runs of them as text."""
 
     def __init__(self, s: str):
-        """Of the column ``s``, of rows that have the columns of ``known`` for it."""
+        """Of the column ``s`` of rows that ``counted`` has been given."""
         self.s, self.words, self.n = F.col(s), F.col(f"{s}_words"), F.col(f"{s}_n")
 
     @staticmethod
-    def known(s: str) -> list[Column]:
-        blanks = F.char_length(s) - F.char_length(F.replace(F.col(s), F.lit(" "), F.lit("")))
-        words = blanks >= WORDS - 1
-        return [words.alias(f"{s}_words"), F.when(words, blanks + 1).otherwise(F.char_length(s)).alias(f"{s}_n")]
+    def counted(rows: DataFrame, s: str) -> DataFrame:
+        """``rows`` with what is known of the units of ``s``."""
+        blanks = F.octet_length(s) - F.octet_length(F.replace(F.col(s), F.lit(" "), F.lit("")))
+        words, n = F.col("blanks") >= WORDS - 1, F.col("blanks") + 1
+        rows = rows.withColumn("blanks", blanks)
+        return rows.withColumns({f"{s}_words": words, f"{s}_n": F.when(words, n).otherwise(F.char_length(s))}).drop("blanks")
 
     def first(self, k: Column) -> Column:
         return F.when(self.words, F.call_function("substring_index", self.s, F.lit(" "), k)).otherwise(F.substring(self.s, F.lit(1), k))
@@ -78,11 +80,10 @@ def line_table(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int = NE
     """
     lines = _rows(docs).select("id", "th", F.posexplode("lines").alias("no", "line"))
     lines = lines.select(*PLACE, normal(F.col("line")).alias("s"))
-    length = F.char_length("s")
-    lines = lines.where(length >= max(1, min_chars))
-    lines = lines.select(*PLACE, "s", length.alias("length"), *_Units.known("s"))
+    lines = lines.where(F.char_length("s") >= min_chars if min_chars > 1 else F.col("s") != "")
+    lines = _Units.counted(lines, "s")
     units = _Units("s")
-    near, n, half = units.words | (F.col("length") >= near_chars), units.n, F.floor(units.n / 2).cast("int")
+    near, n, half = units.words | (units.n >= near_chars), units.n, F.floor(units.n / 2).cast("int")
     odd = n % 2 == 1  # of the four halves, two are the same units
     parts = units.first(half), units.last(n - half), F.when(odd, units.last(half)).otherwise(units.first(half - 1))
     lines = lines.select(
@@ -109,7 +110,7 @@ def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     found = found.select("id", "th", "lines", F.explode("nos").alias("at")).select(
         "id", "th", "at.*", normal(F.element_at("lines", F.col("at.no") + 1)).alias("s")
     )
-    return found.select("*", *_Units.known("s"))
+    return _Units.counted(found, "s")
 
 
 def _chain(units: Column, n: Column, from_end: bool) -> Column:
