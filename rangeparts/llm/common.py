@@ -75,11 +75,13 @@ def worker_cache(name: str) -> dict:
 def parts(batch, column: int, chars: int) -> Iterator[tuple]:
     """(part, texts): slices of a batch with some ``chars`` characters of text each, one row at least, so that memory
     follows the longest text and not the number of rows. Null texts are empty."""
-    at = 0
-    while at < batch.num_rows:
-        texts, size = [], 0
-        while at + len(texts) < batch.num_rows and (not texts or size < chars):
-            texts.append(batch.column(column)[at + len(texts)].as_py() or "")
-            size += len(texts[-1]) + 1
+    at, texts, size = 0, [], 0
+    for value in batch.column(column):
+        text = value.as_py() or ""
+        texts.append(text)
+        size += len(text) + 1
+        if size >= chars:
+            yield batch.slice(at, len(texts)), texts
+            at, texts, size = at + len(texts), [], 0
+    if texts:
         yield batch.slice(at, len(texts)), texts
-        at += len(texts)

@@ -336,7 +336,7 @@ def main_texts(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -
     empty text, as has one that is all furniture. Pages without a url are one host. Repeated rows give
     repeated rows. No rows give no rows.
     """
-    found = importances(style_nodes(pages), min_pages).where(F.col("importance") < low)
+    found = importances(cut(style_nodes(pages)), min_pages).where(F.col("importance") < low)
     branches = cut(found.groupBy("host").agg(F.collect_list("node").alias("low"), F.count("*").alias("n")))
     size = branches.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     branches = branches.select(F.col("host").alias("branch_host"), "low")
