@@ -21,9 +21,9 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("-c", "--config", help="configuration file")
     out.add_argument("-d", "--debug", action="store_const", const=True, help="debug lines")
     out.add_argument("-l", "--log-format", choices=("json", "text"))
-    out.add_argument("-u", "--connection-url")
-    out.add_argument("--lock-timeout", type=int, help="milliseconds")
-    out.add_argument("--statement-timeout", type=int, help="milliseconds")
+    out.add_argument("-u", "--connection-url", help="master of the Spark session, such as yarn or spark://host:7077")
+    out.add_argument("--lock-timeout", type=int, help="milliseconds that an action waits for another engine's lock of a table")
+    out.add_argument("--statement-timeout", type=int, help="milliseconds that a statement on the catalog may take")
     commands = out.add_subparsers(dest="command", required=True)
     run = commands.add_parser("run", help="work on partitions")
     run.add_argument("work", choices=("all", "check", "cleanup", "provisioning"))
@@ -53,9 +53,14 @@ def main(argv: list[str] | None = None, env: Mapping[str, str] | None = None, se
     def usual():
         from pyspark.sql import SparkSession
 
-        return SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        builder = SparkSession.builder.config("spark.sql.session.timeZone", "UTC")
+        return (builder.master(settings.connection_url) if settings.connection_url else builder).getOrCreate()
 
-    spark = (session or usual)()
+    try:
+        spark = (session or usual)()
+    except Exception as e:
+        print(f"ERROR: no session: {e}")
+        return errors.NO_CONNECTION
     try:
         problems = configuration.check(settings, spark)
     except configuration.ConfigError as e:
@@ -76,7 +81,8 @@ def main(argv: list[str] | None = None, env: Mapping[str, str] | None = None, se
     from rangeparts.sources.catalog import SparkCatalog
 
     try:
-        engine = Engine(spark, (catalog or SparkCatalog)(spark), settings.frame(spark), day, log)
+        kept = catalog(spark) if catalog else SparkCatalog(spark, settings.lock_timeout, settings.statement_timeout)
+        engine = Engine(spark, kept, settings.frame(spark), day, log)
         engine.check_server()
     except Exception as e:
         log.error("server: %s", e)

@@ -13,6 +13,8 @@ NOT_PARTITIONED = "NOT_PARTITIONED"
 UNKNOWN_VERSION = "UNKNOWN_VERSION"
 UNSUPPORTED_SERVER = "UNSUPPORTED_SERVER"
 TIME_DRIFT = "TIME_DRIFT"
+STATEMENT_TIMEOUT = "STATEMENT_TIMEOUT"
+LOCK_TIMEOUT = "LOCK_TIMEOUT"
 
 #: Process exit codes.
 OK, BAD_CONFIG, INTERNAL, NO_CONNECTION, PROVISIONING_FAILED, CHECK_FAILED, CLEANUP_FAILED, BAD_WORK_DATE = range(8)

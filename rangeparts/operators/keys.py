@@ -28,11 +28,11 @@ def key_errors(configs: DataFrame, settings: DataFrame) -> DataFrame:
     return found.select("set_name", error.alias("error"))
 
 
-def server_error(version: Column, server_time: Column, local_time: Column) -> Column:
+def server_error(version: Column, server_time: Column, local_time: Column, minimum: int = MIN_VERSION) -> Column:
     """The first requirement that a server does not meet, null if it meets all: a known version, a new one, the same time."""
     number = names.major_version(version)
     return (
         F.when(number.isNull(), errors.UNKNOWN_VERSION)
-        .when(number < MIN_VERSION, errors.UNSUPPORTED_SERVER)
+        .when(number < minimum, errors.UNSUPPORTED_SERVER)
         .when(~calendar.same_clock(server_time, local_time, MAX_DRIFT_S), errors.TIME_DRIFT)
     )

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import json
+import time
+import uuid
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as Late
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,17 +19,21 @@ from pyspark.sql import types as T
 from rangeparts import errors
 from rangeparts.errors import DetachPending, RangeError
 from rangeparts.functions import bounds, names
+from rangeparts.operators import keys
 from rangeparts.schemas import RAW_PARTITIONS
 
 
 class Catalog(Protocol):
     """What an engine needs of a catalog."""
 
+    #: The least major version that ``engine_version`` may tell.
+    min_version: int
+
     def list_partitions(self, schema: str, table: str) -> list[tuple]: ...
     def column_type(self, schema: str, table: str, column: str) -> str: ...
     def partition_settings(self, schema: str, table: str) -> tuple[str, str]: ...
     def table_exists(self, schema: str, table: str) -> bool: ...
-    def is_attached(self, schema: str, table: str, parent: str) -> bool: ...
+    def is_attached(self, schema: str, table: str) -> bool: ...
     def create_like(self, schema: str, table: str, parent: str) -> None: ...
     def attach(self, schema: str, table: str, parent: str, lower: str, upper: str) -> None: ...
     def detach(self, schema: str, table: str, parent: str) -> None: ...
@@ -54,7 +64,9 @@ def typed_partitions(raw: DataFrame) -> DataFrame:
 
 
 class FrameCatalog:
-    """A catalog in memory, for tests and dry runs. Names that start with "fail_" can be set to fail in an action."""
+    """A catalog in memory, for tests and dry runs; ``calls`` has the actions, and those in ``failing`` (action, table) fail."""
+
+    min_version = keys.MIN_VERSION
 
     def __init__(self, version: str = "16.2", now: datetime.datetime | None = None):
         self.version, self.now = version, now
@@ -96,9 +108,9 @@ class FrameCatalog:
     def table_exists(self, schema: str, table: str) -> bool:
         return (schema, table) in self.tables or (schema, table) in self.parents
 
-    def is_attached(self, schema: str, table: str, parent: str) -> bool:
+    def is_attached(self, schema: str, table: str) -> bool:
         t = self.tables.get((schema, table))
-        return t is not None and t["parent"] == parent and t["state"] != "free"
+        return t is not None and t["state"] != "free"
 
     def create_like(self, schema: str, table: str, parent: str) -> None:
         self._do("create", schema, table, parent)
@@ -140,20 +152,64 @@ class SparkCatalog:
 
     The bounds and the state of a partition are properties of its table, so that a change of them is
     one statement. Every partition is registered as a table of its own on the same folder, so that it
-    can be read when it has been detached. A detach that was broken off leaves the state "pending"
-    and is ended by ``finalize_detach``. Indexes, constraints and replication have no likeness here:
-    a replica identity is a property that is copied.
+    can be read when it has been detached, and names its parent. A detach that was broken off leaves
+    the state "pending" and is ended by ``finalize_detach``. Indexes, constraints and replication have
+    no likeness here: a replica identity is a property that is copied.
+
+    A statement that takes longer than ``statement_timeout`` milliseconds is interrupted and fails.
+    Attaching and detaching hold a lock of the parent, a file in its folder; where another engine holds
+    it for ``lock_timeout`` milliseconds, the action fails. 0 waits for ever. A lock that has been left
+    by an engine that is gone is taken over after STALE seconds.
     """
 
     STRATEGY, KEY, TYPE, IDENTITY, PART = "range.strategy", "range.key", "range.type", "range.identity", "range.part."
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    PARENT, LOCK, STALE = "range.parent", "_range_lock", 600
+    #: Spark's own version: tables with times without an offset as keys need it.
+    min_version = 4
+
+    def __init__(self, spark: SparkSession, lock_timeout: int = 0, statement_timeout: int = 0):
+        self.spark, self.lock_timeout, self.statement_timeout = spark, lock_timeout, statement_timeout
+
+    def _sql(self, statement: str) -> list:
+        """Rows of a statement, within the time that it may take."""
+        if not self.statement_timeout:
+            return self.spark.sql(statement).collect()
+        group = f"range-{uuid.uuid4()}"
+
+        def run() -> list:
+            self.spark.sparkContext.setJobGroup(group, "a statement on the catalog", True)
+            return self.spark.sql(statement).collect()
+
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(run).result(self.statement_timeout / 1000)
+        except Late:
+            self.spark.sparkContext.cancelJobGroup(group)
+            raise RangeError(errors.STATEMENT_TIMEOUT, statement.split(" ")[0]) from None
+        finally:
+            pool.shutdown(wait=False)
+
+    @contextlib.contextmanager
+    def _locked(self, schema: str, parent: str) -> Iterator[None]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._location(schema, parent)}/{self.LOCK}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        until = time.monotonic() + self.lock_timeout / 1000
+        while not files.createNewFile(path):
+            if files.exists(path) and time.time() - files.getFileStatus(path).getModificationTime() / 1000 > self.STALE:
+                files.delete(path, False)
+            elif self.lock_timeout and time.monotonic() > until:
+                raise RangeError(errors.LOCK_TIMEOUT, f"{schema}.{parent}")
+            else:
+                time.sleep(0.01)
+        try:
+            yield
+        finally:
+            files.delete(path, False)
 
     def _properties(self, schema: str, table: str) -> dict[str, str]:
         if not self.table_exists(schema, table):
             return {}
-        return {r.key: r.value for r in self.spark.sql(f"SHOW TBLPROPERTIES {names.quoted(schema, table)}").collect()}
+        return {r.key: r.value for r in self._sql(f"SHOW TBLPROPERTIES {names.quoted(schema, table)}")}
 
     @staticmethod
     def _literal(text: str) -> str:
@@ -161,17 +217,17 @@ class SparkCatalog:
 
     def _set(self, schema: str, table: str, name: str, value: dict) -> None:
         pair = f"{self._literal(self.PART + name)} = {self._literal(json.dumps(value))}"
-        self.spark.sql(f"ALTER TABLE {names.quoted(schema, table)} SET TBLPROPERTIES ({pair})")
+        self._sql(f"ALTER TABLE {names.quoted(schema, table)} SET TBLPROPERTIES ({pair})")
 
     def _unset(self, schema: str, table: str, name: str) -> None:
-        self.spark.sql(f"ALTER TABLE {names.quoted(schema, table)} UNSET TBLPROPERTIES IF EXISTS ({self._literal(self.PART + name)})")
+        self._sql(f"ALTER TABLE {names.quoted(schema, table)} UNSET TBLPROPERTIES IF EXISTS ({self._literal(self.PART + name)})")
 
     def _part(self, schema: str, table: str, parent: str) -> dict | None:
         found = self._properties(schema, parent).get(self.PART + table)
         return json.loads(found) if found else None
 
     def _location(self, schema: str, table: str) -> str:
-        rows = self.spark.sql(f"DESCRIBE TABLE EXTENDED {names.quoted(schema, table)}").collect()
+        rows = self._sql(f"DESCRIBE TABLE EXTENDED {names.quoted(schema, table)}")
         described = {r.col_name: r.data_type for r in rows}
         if described.get("Type") != "EXTERNAL":
             raise RangeError(errors.NOT_PARTITIONED, f"{schema}.{table} is not an external table")
@@ -180,7 +236,7 @@ class SparkCatalog:
     def create_parent(self, schema: str, table: str, columns: str, key: str, location: str, key_type: str | None = None) -> None:
         """An empty table that is partitioned by range of ``key``; ``key_type`` tells a uuid from a text."""
         kind = f", '{self.TYPE}' = '{key_type}'" if key_type else ""
-        self.spark.sql(
+        self._sql(
             f"CREATE TABLE {names.quoted(schema, table)} ({columns}, part_name STRING) USING parquet PARTITIONED BY (part_name)"
             f" LOCATION {self._literal(location)} TBLPROPERTIES ('{self.STRATEGY}' = 'RANGE', '{self.KEY}' = {self._literal(key)}{kind})"
         )
@@ -209,21 +265,24 @@ class SparkCatalog:
     def table_exists(self, schema: str, table: str) -> bool:
         return self.spark.catalog.tableExists(names.quoted(schema, table))
 
-    def is_attached(self, schema: str, table: str, parent: str) -> bool:
-        return self._part(schema, table, parent) is not None
+    def is_attached(self, schema: str, table: str) -> bool:
+        """To any parent."""
+        return self.PARENT in self._properties(schema, table)
 
     def create_like(self, schema: str, table: str, parent: str) -> None:
         folder = f"{self._location(schema, parent)}/part_name={table}"
         columns = [f for f in self.spark.table(names.quoted(schema, parent)).schema if f.name != "part_name"]
         listed = ", ".join(f"{names.quoted(f.name)} {f.dataType.simpleString()}" for f in columns)
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {names.quoted(schema, table)} ({listed}) USING parquet LOCATION {self._literal(folder)}")
+        self._sql(f"CREATE TABLE IF NOT EXISTS {names.quoted(schema, table)} ({listed}) USING parquet LOCATION {self._literal(folder)}")
 
     def attach(self, schema: str, table: str, parent: str, lower: str, upper: str) -> None:
         folder = self._location(schema, table)
-        self.spark.sql(
-            f"ALTER TABLE {names.quoted(schema, parent)} ADD IF NOT EXISTS PARTITION (part_name = {self._literal(table)}) LOCATION {self._literal(folder)}"
-        )
-        self._set(schema, parent, table, {"lower": lower, "upper": upper, "state": "attached"})
+        with self._locked(schema, parent):
+            self._sql(
+                f"ALTER TABLE {names.quoted(schema, parent)} ADD IF NOT EXISTS PARTITION (part_name = {self._literal(table)}) LOCATION {self._literal(folder)}"
+            )
+            self._set(schema, parent, table, {"lower": lower, "upper": upper, "state": "attached"})
+            self._sql(f"ALTER TABLE {names.quoted(schema, table)} SET TBLPROPERTIES ('{self.PARENT}' = {self._literal(parent)})")
 
     def detach(self, schema: str, table: str, parent: str) -> None:
         part = self._part(schema, table, parent)
@@ -231,17 +290,20 @@ class SparkCatalog:
             raise RangeError("NOT_ATTACHED", f"{schema}.{table}")
         if part["state"] == "pending":
             raise DetachPending(f"{schema}.{table}")
-        self._set(schema, parent, table, part | {"state": "pending"})
+        with self._locked(schema, parent):
+            self._set(schema, parent, table, part | {"state": "pending"})
         self.finalize_detach(schema, table, parent)
 
     def finalize_detach(self, schema: str, table: str, parent: str) -> None:
-        self._location(schema, parent)  # the files of a table that is not external would go
-        self.spark.sql(f"ALTER TABLE {names.quoted(schema, parent)} DROP IF EXISTS PARTITION (part_name = {self._literal(table)})")
-        self._unset(schema, parent, table)
+        with self._locked(schema, parent):  # which fails for a table that is not external: its files would go
+            self._sql(f"ALTER TABLE {names.quoted(schema, parent)} DROP IF EXISTS PARTITION (part_name = {self._literal(table)})")
+            if self.table_exists(schema, table):
+                self._sql(f"ALTER TABLE {names.quoted(schema, table)} UNSET TBLPROPERTIES IF EXISTS ('{self.PARENT}')")
+            self._unset(schema, parent, table)
 
     def drop(self, schema: str, table: str) -> None:
         folder = self._location(schema, table)
-        self.spark.sql(f"DROP TABLE {names.quoted(schema, table)}")
+        self._sql(f"DROP TABLE {names.quoted(schema, table)}")
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -249,14 +311,13 @@ class SparkCatalog:
     def copy_identity(self, schema: str, table: str, parent: str) -> None:
         identity = self._properties(schema, parent).get(self.IDENTITY)
         if identity in ("f", "i"):
-            self.spark.sql(f"ALTER TABLE {names.quoted(schema, table)} SET TBLPROPERTIES ('{self.IDENTITY}' = '{identity}')")
+            self._sql(f"ALTER TABLE {names.quoted(schema, table)} SET TBLPROPERTIES ('{self.IDENTITY}' = '{identity}')")
 
     def engine_version(self) -> str:
-        """Spark's version follows no server's, so the least supported one is told."""
-        return "14"
+        return self.spark.version
 
     def server_time(self) -> datetime.datetime:
-        return datetime.datetime.fromtimestamp(self.spark.sql("SELECT unix_micros(current_timestamp())").first()[0] / 1e6, datetime.UTC)
+        return datetime.datetime.fromtimestamp(self._sql("SELECT unix_micros(current_timestamp())")[0][0] / 1e6, datetime.UTC)
 
 
 def raw_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 import io
 import json
 import logging
+import time
 
 import pytest
 
@@ -195,13 +196,57 @@ def test_spark_catalog(spark, tmp_path):
     with pytest.raises(errors.DetachPending):
         c.detach("life", f"{table}_2025_02_01", table)
     c.finalize_detach("life", f"{table}_2025_02_01", table)
-    assert not c.is_attached("life", f"{table}_2025_02_01", table)
+    assert not c.is_attached("life", f"{table}_2025_02_01") and c.is_attached("life", f"{table}_2025_02_02")
+    assert not (tmp_path / "t" / c.LOCK).exists()
+    (tmp_path / "t" / c.LOCK).touch()  # another engine is at work
+    c.lock_timeout, began = 200, time.monotonic()
+    with pytest.raises(errors.RangeError, match="LOCK_TIMEOUT"):
+        c.detach("life", f"{table}_2025_02_02", table)
+    assert 0.2 <= time.monotonic() - began < 10
+    c.STALE = -1  # it is gone
+    c.detach("life", f"{table}_2025_02_02", table)
+    assert not c.is_attached("life", f"{table}_2025_02_02")
     with pytest.raises(errors.RangeError, match="NOT_PARTITIONED"):
         c.partition_settings("life", "nothing")
     with pytest.raises(errors.RangeError, match="UNSUPPORTED_KEY_TYPE"):
         c.column_type("life", table, "id")
 
 
+def test_statements_have_their_time(spark):
+    c = SparkCatalog(spark, statement_timeout=300)
+    slow = "SELECT count(*) FROM range(2000000000) WHERE id % 7 = crc32(cast(id AS string)) % 7"
+    with pytest.raises(errors.RangeError, match="STATEMENT_TIMEOUT"):
+        c._sql(slow)
+    c.statement_timeout = 60_000
+    assert c._sql("SELECT 5")[0][0] == 5
+
+
+def test_spark_has_a_least_version(spark):
+    c = SparkCatalog(spark)
+    engine(spark, c, ("t", "daily", 1, 1)).check_server()
+    c.min_version = 99
+    with pytest.raises(errors.RangeError, match="UNSUPPORTED_SERVER"):
+        engine(spark, c, ("t", "daily", 1, 1)).check_server()
+
+
+def test_tables_of_another_parent_are_left(spark):
+    c = catalog_with("t", "other")
+    c.add_partition("public", "t_2025_02_01", "other", "2020-01-01", "2020-01-02")
+    assert engine(spark, c, ("t", "daily", 0, 0)).provision()
+    assert c.calls == [] and c.tables["public", "t_2025_02_01"]["parent"] == "other"
+
+
+def test_no_session(tmp_path, capsys):
+    path = tmp_path / "c.yaml"
+    path.write_text(YAML)
+
+    def none():
+        raise OSError("unreachable")
+
+    assert main(["-c", str(path), "run", "all"], {}, none) == errors.NO_CONNECTION
+    assert "unreachable" in capsys.readouterr().out
+
+
 def test_names_with_signs(spark):
     c = catalog_with("table's name")
     e = engine(spark, c, ("table's name", "daily", 1, 1))
