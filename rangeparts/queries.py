@@ -7,18 +7,21 @@ other interval) in which it has a row.
 from __future__ import annotations
 
 import datetime
+import io
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rangeparts.engine import Engine
 from rangeparts.functions import bounds, calendar, names, uuid7
+from rangeparts.logs import logger
 from rangeparts.operators import diff, keys, ranges, routing
 from rangeparts.operators.expected import expected_partitions, partition_for, pre_provisioned_partitions, retained_partitions
 from rangeparts.plans import check, cleanup, provision, status
 from rangeparts.schemas import CONFIGS, INTERVALS
 from rangeparts.sources import config
-from rangeparts.sources.catalog import described_partitions, typed_partitions
+from rangeparts.sources.catalog import FrameCatalog, described_partitions, typed_partitions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -576,3 +579,137 @@ def route_rows(spark, sf_dir):
 def prune_range(spark, sf_dir):
     lo, hi = (F.lit(d).cast("timestamp_ntz") for d in ("1998-02-10", "1998-06-15"))
     return routing.overlapping(existing(spark, sf_dir), lo, hi).select("name", "lo", "hi")
+
+
+@query(
+    "read_range_rows",
+    "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1998-02-10' AND o_orderdate < TIMESTAMP '1998-06-15'",
+)
+def read_range_rows(spark, sf_dir):
+    """The orders of a range of days, read through the partitions that the range meets."""
+    lo, hi = (F.lit(d).cast("timestamp_ntz") for d in ("1998-02-10", "1998-06-15"))
+    rows = routing.route_regular(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "monthly", "orders")
+    return routing.read_range(rows, "o_orderdate", existing(spark, sf_dir), lo, hi).select("o_orderkey", "o_orderdate")
+
+
+# -- actions -----------------------------------------------------------------------------------------
+
+
+def _dry_run(spark: SparkSession, found: DataFrame | None, *sets: tuple) -> tuple[Engine, FrameCatalog]:
+    """An engine over a catalog in memory, with the partitions ``found`` of ``orders`` (as many as months)."""
+    kept = FrameCatalog()
+    kept.add_parent("public", "orders", "o_orderdate", "date")
+    for r in (found.collect() if found is not None else []):
+        kept.add_partition("public", r.name, "orders", r.lo.date().isoformat(), r.hi.date().isoformat())
+    quiet = logger(stream=io.StringIO())
+    return Engine(spark, kept, configs(spark, *sets), WORK_DATE, quiet, sleep=lambda s: None), kept
+
+
+def _actions(spark: SparkSession, kept: FrameCatalog) -> DataFrame:
+    """(seq, action, name, lower, upper) of what has been done, in its order."""
+    rows = [(i, a, n, *((rest[1:] or (None, None)) if a == "attach" else (None, None))) for i, (a, _, n, *rest) in enumerate(kept.calls)]
+    return spark.createDataFrame(rows, "seq int, action string, name string, lower string, upper string")
+
+
+@query(
+    "provisioning_actions",
+    f"""SELECT (row_number() OVER (ORDER BY lo, place) - 1)::INT AS seq, action, name,
+  CASE WHEN action = 'attach' THEN strftime(lo, '%Y-%m-%d') END AS lower, CASE WHEN action = 'attach' THEN strftime(hi, '%Y-%m-%d') END AS upper
+FROM ({_EXPECTED}), (VALUES (0, 'create'), (1, 'attach'), (2, 'identity')) AS v(place, action)""",
+)
+def provisioning_actions(spark, sf_dir):
+    """What provisioning does where nothing is: each partition is created, attached, and given its parent's identity."""
+    engine, kept = _dry_run(spark, None, ("s", "monthly", 3, 2))
+    engine.provision()
+    engine.provision()  # nothing is done twice
+    return _actions(spark, kept)
+
+
+@query(
+    "cleanup_actions",
+    f"""SELECT (row_number() OVER (ORDER BY lo, place) - 1)::INT AS seq, action, name, NULL::VARCHAR AS lower, NULL::VARCHAR AS upper
+FROM ({_OUTDATED}), (VALUES (0, 'detach'), (1, 'drop')) AS v(place, action)""",
+)
+def cleanup_actions(spark, sf_dir):
+    """What cleanup does to the months of ``orders``: those outside of the expected range are detached and dropped."""
+    engine, kept = _dry_run(spark, existing(spark, sf_dir), ("s", "monthly", 3, 2))
+    engine.clean_up()
+    return _actions(spark, kept)
+
+
+@query(
+    "detach_actions",
+    f"""WITH o AS ({_OUTDATED}), first AS (SELECT min(lo) AS lo FROM o), a AS (
+  SELECT o.lo, 0 AS place, 'detach' AS action, name FROM o UNION ALL SELECT o.lo, 1, 'finalize', name FROM o, first WHERE o.lo = first.lo
+) SELECT (row_number() OVER (ORDER BY lo, place) - 1)::INT AS seq, action, name, NULL::VARCHAR AS lower, NULL::VARCHAR AS upper FROM a""",
+)
+def detach_actions(spark, sf_dir):
+    """The same under a policy of detaching, where the detach of the first partition has been broken off before."""
+    engine, kept = _dry_run(spark, existing(spark, sf_dir), ("s", "monthly", 3, 2, "detach"))
+    kept.tables["public", min(n for _, n in kept.tables)]["state"] = "pending"
+    engine.clean_up()
+    return _actions(spark, kept)
+
+
+@query(
+    "failed_actions",
+    f"""WITH o AS ({_OUTDATED}), first AS (SELECT min(lo) AS lo FROM o), a AS (
+  SELECT lo, 0 AS place, 'detach' AS action, name, 1 AS k FROM o
+  UNION ALL SELECT o.lo, 0, 'detach', name, k FROM o, first, (VALUES (2), (3)) AS t(k) WHERE o.lo = first.lo
+  UNION ALL SELECT o.lo, 1, 'drop', name, 1 FROM o, first WHERE o.lo > first.lo
+) SELECT (row_number() OVER (ORDER BY lo, place, k) - 1)::INT AS seq, action, name, NULL::VARCHAR AS lower, NULL::VARCHAR AS upper FROM a""",
+)
+def failed_actions(spark, sf_dir):
+    """The detach of the first partition fails: it is tried three times, the partition is not dropped, and the others go."""
+    engine, kept = _dry_run(spark, existing(spark, sf_dir), ("s", "monthly", 3, 2))
+    kept.failing.add(("detach", min(n for _, n in kept.tables)))
+    engine.clean_up()
+    return _actions(spark, kept)
+
+
+_CODES = (("nothing", 0), ("no_parent", 4), ("gap", 4), ("drop_fails", 6), ("other_interval", 5))
+
+
+@query("exit_codes", f"SELECT scenario, code FROM {_values(_CODES, 'scenario', 'code')}")
+def exit_codes(spark, sf_dir):
+    """What a run of all three works ends with: provisioning, then cleanup, then the check, up to the first that fails."""
+    months = existing(spark, sf_dir)
+    rows = []
+    for scenario, _ in _CODES:
+        interval = "quarterly" if scenario == "other_interval" else "monthly"
+        engine, kept = _dry_run(spark, None if scenario in ("nothing", "no_parent") else months, ("s", interval, 3, 2))
+        if scenario == "no_parent":
+            kept.parents.clear()
+        if scenario == "gap":
+            del kept.tables["public", sorted(n for _, n in kept.tables)[3]]
+        if scenario == "drop_fails":
+            kept.failing.add(("drop", min(n for _, n in kept.tables)))
+        rows.append((scenario, engine.run_all()))
+    return spark.createDataFrame(rows, "scenario string, code int")
+
+
+_IDENTIFIERS = (("public", "orders"), ("my schema", "table's name"), ("a.b", "tick`ed"), ("é", "日本"))
+
+
+@query(
+    "qualified_names",
+    "SELECT schema || '.' || name AS qualified, '`' || replace(schema, '`', '``') || '`.`' || replace(name, '`', '``') || '`' AS quoted FROM "
+    + _values(_IDENTIFIERS, "schema", "name"),
+)
+def qualified_names(spark, sf_dir):
+    rows = spark.createDataFrame([(*r, names.quoted(*r)) for r in _IDENTIFIERS], "schema string, name string, quoted string")
+    return rows.select(names.qualified("schema", "name").alias("qualified"), "quoted")
+
+
+_TEXTS = (
+    (1, "018cc251-f400-7000-8000-000000000000"), (2, "47568E76-FB49-11EE-B9C7-325096B39F47"), (3, "018cc251f40070008000000000000000"),
+    (4, "018cc251-f400-7000-8000-00000000000"), (5, "018cc251-f400-7000-8000-00000000000g"), (6, ""), (7, " 018cc251-f400-7000-8000-000000000000"),
+)
+
+
+@query(
+    "uuid_syntax",
+    f"SELECT id, regexp_full_match(lower(t), '[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}') AS valid FROM {_values(_TEXTS, 'id', 't')}",
+)
+def uuid_syntax(spark, sf_dir):
+    return spark.createDataFrame(list(_TEXTS), "id int, t string").select("id", uuid7.is_uuid("t").alias("valid"))
