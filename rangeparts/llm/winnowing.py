@@ -15,10 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rangeparts.llm.common import parts
+
 #: Bytes of a gram, a power of two, and grams of a window.
 GRAM, WINDOW = 8, 8
 #: Grams that are hashed at once.
 BLOCK = 1 << 20
+#: Characters of texts, or of fingerprints, that are given together.
+CHUNK = 1 << 22
 MULTIPLIER = 0x9E3779B97F4A7C15
 LAST = (1 << 63) - 1
 
@@ -93,22 +97,23 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [written(fingerprint(t.as_py() or "", gram, window)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], ["doc_id", "fingerprint"])
+            for rows, texts in parts(batch, 1, CHUNK):
+                prints = [written(fingerprint(t, gram, window)) for t in texts]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(prints, pa.string())], ["doc_id", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def _in_order(docs: DataFrame, parts: int) -> DataFrame:
+def _in_order(docs: DataFrame, ranges: int) -> DataFrame:
     """(part, ghost, id, text): rows dealt to ranges of ids, each range followed by the first row of the next one as a ghost.
 
     The bounds of the ranges are ids that occur, so the first rows of a range are those at its bound.
     Only the ids are sorted out by Python; the texts are shuffled once.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5))
-    lowest, bounds = rows.agg(F.min("id"), F.percentile_approx("id", shares, 100 * parts)).first()
-    bounds = np.unique([b for b in bounds or [] if b > lowest]).astype(np.int64) if parts > 1 else np.zeros(0, np.int64)
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)]) if ranges > 1 else F.array(F.lit(0.5))
+    lowest, bounds = rows.agg(F.min("id"), F.percentile_approx("id", shares, 100 * ranges)).first()
+    bounds = np.unique([b for b in bounds or [] if b > lowest]).astype(np.int64) if ranges > 1 else np.zeros(0, np.int64)
 
     @F.pandas_udf("array<int>")
     def dealt(ids):
@@ -133,7 +138,7 @@ def compared(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFra
     come last, and after the last row comes the first. A single row is its own next. A null text is
     an empty one; likenesses are 1 where both fingerprints are empty. No rows give no rows.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
@@ -148,8 +153,12 @@ def compared(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # (part, id, text, fingerprint) of a row whose next one has not come yet
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
         for batch in batches:
-            out = []
+            out, size = [], 0
             keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
             for (part, ghost, doc_id), value in zip(keys, batch.column(3), strict=True):
                 if ghost and before is None:
@@ -158,9 +167,13 @@ def compared(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFra
                 prints = fingerprint(text, gram, window)
                 if before is not None and before[0] == part:
                     out.append(row(*before[1:], text, prints))
+                    size += len(out[-1][3]) + len(out[-1][4])
+                    if size >= CHUNK:
+                        yield given()
+                        out, size = [], 0
                 before = None if ghost else (part, doc_id, text, prints)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                yield given()
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _in_order(docs, parts).mapInArrow(run, schema)
+    return _in_order(docs, ranges).mapInArrow(run, schema)
