@@ -28,7 +28,7 @@ THETA = 1.0
 BYTE = -30.0
 SEED = 42
 #: Characters that are sampled together, and words whose lattices a worker keeps.
-CHUNK, KEPT_WORDS = 1 << 18, 250_000
+CHUNK, KEPT_WORDS = 1 << 18, 400_000
 #: Longer words are filtered by themselves; so few occurrences are drawn one by one.
 LONG_WORD, FEW = 256, 4
 
@@ -142,7 +142,7 @@ class _Grown:
 
     def append(self, x: np.ndarray) -> None:
         if self.n + len(x) > len(self.room):
-            self.room = np.concatenate([self.room[: self.n], np.empty(self.n + 2 * len(x), dtype=self.room.dtype)])
+            self.room = np.concatenate([self.room[: self.n], np.empty(self.n // 4 + 2 * len(x), dtype=self.room.dtype)])
         self.room[self.n : self.n + len(x)] = x
         self.n += len(x)
 
@@ -162,7 +162,7 @@ class Lattice:
         self.vocabulary, self.names = vocabulary, _Names()
         self.end, self.first = _Grown(np.int64), _Grown(np.int64)  # last place of each word; first edge that ends at each place
         self.place, self.codes = _Grown(np.int32), _Grown(np.uint32)
-        self.size, self.id, self.sum = _Grown(np.int32), _Grown(np.int32), _Grown(np.float64)  # of the edges
+        self.size, self.id, self.sum = _Grown(np.int16), _Grown(np.int32), _Grown(np.float64)  # of the edges
 
     def numbers(self, words: list[str]) -> np.ndarray:
         numbers = np.fromiter(map(self.names.__getitem__, words), dtype=np.int64, count=len(words))
