@@ -31,6 +31,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key is hot if it has over HOT_ROWS rows and over one of HOT_SHARE rows of all.
+HOT_ROWS, HOT_SHARE = 10_000, 1_000
+
+
+def met(rows: DataFrame, values: DataFrame, key: str, n: int) -> DataFrame:
+    """``rows`` joined with ``values``: one row a ``key``, with the number of the key's rows in ``times``, ``n`` in all at most.
+
+    No task of the shuffle gets the rows of a hot key: there are HOT_SHARE such keys at most, however
+    large the tables are, so their values are broadcast. Below HOT_ROWS rows there is none.
+    """
+    if n <= HOT_ROWS:
+        return rows.join(values.drop("times"), key)
+    values = cut(values)
+    hot = values.where(F.col("times") > max(HOT_ROWS, n // HOT_SHARE)).drop("times")
+    rest = values.drop("times")
+    if hot.isEmpty():
+        return rows.join(rest, key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(others.join(rest, key))
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id is in fold 0 as if its text were empty."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeparts.llm.common import cut
+from rangeparts.llm.common import cut, met
 
 BITS = 64
 MAX_BITS = 4
@@ -26,6 +26,8 @@ SHINGLE = 4
 SEED = 42
 #: Fingerprints that one task compares with each other at once.
 BLOCK = 4096
+#: Bits by which the keys of finer masks are longer, at least.
+FINER = 8
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -55,12 +57,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
-def plan_masks(n: int, max_bits: int = MAX_BITS) -> list[int]:
+def plan_masks(n: int, max_bits: int = MAX_BITS, bits_over: int = 0) -> list[int]:
     """Bit masks of the variants, all exact for ``max_bits``, chosen by the number of fingerprints.
 
     ``s`` segments, ``m`` of them in a key: allowed where the ``m`` segments with the fewest
     differences can't have more than one together. The first choice whose keys are selective enough
-    that random fingerprints rarely meet is taken.
+    that random fingerprints rarely meet is taken, of those with over ``bits_over`` bits in a key;
+    there may be none of these.
     """
     choices = []
     for s in range(2, 9):
@@ -69,7 +72,10 @@ def plan_masks(n: int, max_bits: int = MAX_BITS) -> list[int]:
             if sum(sorted(spread)[:m]) <= 1:
                 bits = BITS * m // s - 1
                 keys = len(list(itertools.combinations(range(s), m))) * (bits + 1)
-                choices.append((keys, bits, s, m))
+                if bits > bits_over:
+                    choices.append((keys, bits, s, m))
+    if not choices:
+        return []
     choices.sort()
     keys, _, s, m = next((c for c in choices if n >> c[1] < 2), choices[-1])
     edges = [round(i * BITS / s) for i in range(s + 1)]
@@ -193,12 +199,16 @@ def _link_batches(masks: list[int], max_bits: int, limit: int):
     return run
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, masks: list[int] | None = None) -> DataFrame:
+def links(
+    prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, masks: list[int] | None = None, copies: int | None = None
+) -> DataFrame:
     """(a, b): pairs of different fingerprints in column ``fp`` that differ in at most ``max_bits``.
 
     Not all such pairs, but enough of them to connect whatever they connect. A variant with more
     than ``block`` fingerprints is compared block against block, by as many tasks as it has pairs of
-    blocks, so no task reads more than two blocks of it.
+    blocks, so no task reads more than two blocks of it. That copies a fingerprint once for each
+    block; where this would be over ``copies`` times (the keys of the next finer masks, if not given),
+    the fingerprints of the variant are linked through those masks instead, which are exact as well.
     """
     masks = masks or plan_masks(prints.count(), max_bits)
     variants = prints.select("fp", F.posexplode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("k", "mask"))
@@ -212,10 +222,17 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, masks
     many = found.where("block >= 0").select(F.col("a").alias("fp"), "k", "masked", "block")
     if many.isEmpty():
         return few.distinct()
-    counts = many.groupBy("k", "masked").agg((F.max("block") + 1).alias("blocks"))
-    cells = many.join(counts, ["k", "masked"]).select(
-        "k", "masked", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    )
+    counts = cut(many.groupBy("k", "masked").agg((F.max("block") + 1).alias("blocks")))
+    # a row for each block: no key of the join has more fingerprints than a block
+    counts = counts.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.join(counts, ["k", "masked", "block"])
+    if finer := plan_masks(1 << BITS, max_bits, masks[0].bit_count() + FINER):
+        copies = copies or len(finer)
+        deep = cut(many.where(F.col("blocks") > copies).select("fp").distinct())
+        if not deep.isEmpty():
+            few = few.unionByName(links(deep, max_bits, block, finer, copies))
+            many = many.where(F.col("blocks") <= copies)
+    cells = many.select("k", "masked", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select(
         "k", "masked", "fp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
@@ -237,16 +254,17 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
 
     Alternates large-star and small-star steps until nothing changes, which takes a number of rounds
     that grows with the logarithm of the size; each round is written to the shared checkpoint folder.
+    A node with very many neighbours gets its least one without a shuffle (see ``met``).
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     size = _state(now)
     for _ in range(rounds):
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("times"))
+        large = met(both.where("v > u"), least, "u", 2 * size[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times"))
+        small = met(large, least, "u", 2 * size[0]).select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
         now = cut(small.where("u <> v").distinct())
         size, before = _state(now), size
         if size == before:
@@ -267,14 +285,16 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, block: int = BLOC
     smallest id of the others in its component, null if none has one. No rows give no rows.
     """
     prints = cut(fingerprints(docs))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = components(links(classes.select("fp"), max_bits, block))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times")))
+    n, rows = classes.agg(F.count("*"), F.coalesce(F.sum("times"), F.lit(0))).first()
+    roots = components(links(classes.select("fp"), max_bits, block, plan_masks(n, max_bits)))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select(
-        "fp", "rep", F.coalesce("root", "fp").alias("root")
+        "fp", "rep", "times", F.coalesce("root", "fp").alias("root")
     )
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    groups = cut(rooted.join(least, "root").select("fp", "component_id"))
-    return prints.join(groups, "fp").select(
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("times"))
+    groups = cut(met(rooted.withColumnRenamed("times", "copies"), least, "root", n))
+    groups = groups.select("fp", "component_id", F.col("copies").alias("times"))
+    return met(prints, groups, "fp", rows).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 

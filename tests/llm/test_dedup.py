@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rangeparts.llm import linededup, simhash, winnowing
+from rangeparts.llm import common, linededup, simhash, winnowing
 
 WORDS = [a + b + c for a in ("ba", "ke", "li", "mo", "nu") for b in ("ra", "se", "ti", "vo") for c in ("n", "r", "s", "")]
 
@@ -101,6 +101,50 @@ def test_chains_are_one_component(spark):
     assert {r.node for r in rows} == set(chain) - {min(chain)}
 
 
+@pytest.mark.parametrize("copies", [None, 2])
+def test_full_variants_are_linked_by_finer_masks(spark, copies):
+    """One in three fingerprints is near one centre, in more blocks of a variant than it may be copied to."""
+    rng = random.Random(5)
+    centre = rng.getrandbits(64)
+    fps = {rng.getrandbits(64) for _ in range(400)}
+    while len(fps) < 600:
+        x = centre
+        for b in rng.sample(range(64), rng.randrange(8)):
+            x ^= 1 << b
+        fps.add(x)
+    fps = sorted(fps)
+    prints = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    pairs = [(a % (1 << 64), b % (1 << 64)) for a, b in simhash.links(prints, block=16, copies=copies).collect()]
+    assert all(a != b and (a ^ b).bit_count() <= 4 for a, b in pairs)
+    place = {x: i for i, x in enumerate(fps)}
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        i, j = find(place[a]), find(place[b])
+        root[max(i, j)] = min(i, j)
+    assert [find(i) for i in range(len(fps))] == [place[fps[i]] for i in slow_components(fps, 4)]
+
+
+def test_hot_keys_are_joined_alike(spark, monkeypatch):
+    """Hubs and large groups of copies get the same results without a shuffle."""
+    rng = random.Random(6)
+    edges = {(0, i) for i in range(1, 300)} | {(1000 - i, 1000) for i in range(1, 300)} | {(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(150)}
+    edges = spark.createDataFrame(sorted(edges), "a long, b long")
+    want = sorted(map(tuple, simhash.components(edges).collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(common, "HOT_SHARE", 10)
+    assert sorted(map(tuple, simhash.components(edges).collect())) == want
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 99, i) for i in range(200)], "k long, v long")
+    values = rows.groupBy("k").agg(F.max("v").alias("most"), F.count("*").alias("times"))
+    got = common.met(rows, values, "k", 200)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(values.drop("times"), "k").collect()))
+
+
 def test_simhash_edges(spark, edge_documents, documents):
     rows = simhash.near_duplicates(edge_documents).collect()
     assert len(rows) == edge_documents.count()
