@@ -1,8 +1,9 @@
 """Optional extras: rows to partitions, and partitions to read.
 
 The database that partitions are meant for does this itself; for tables that Spark keeps, it is done
-here. A regular layout is routed by an expression on the key, without a join; any layout by an
-equi-join on the days that a partition covers, which Spark can hash, instead of a nested loop.
+here. A regular layout is routed by an expression on the key, without a join; any layout by
+equi-joins on runs of days as long as the partitions are, which Spark can hash, instead of a nested
+loop.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rangeparts.operators.expected import partition_for
 
-#: Partitions that a routing table may have to be sent to all executors.
+#: Rows that a routing table may have to be sent to all executors.
 BROADCAST_ROWS = 100_000
 
 
@@ -21,24 +22,36 @@ def route_regular(rows: DataFrame, key: str, interval: str, table: str) -> DataF
     return rows.withColumn("part_name", F.when(F.col(key).isNotNull(), partition_for(key, interval, F.lit(table))["name"]))
 
 
-def _daily(partitions: DataFrame) -> DataFrame:
-    """(day, name, lo, hi): a row for each day that a partition has a part of; no more than its days, and few a day."""
-    last = F.date_sub(F.col("hi").cast("date"), F.when(F.col("hi") == F.col("hi").cast("date").cast("timestamp_ntz"), 1).otherwise(0))
-    return partitions.where("lo < hi").select("name", "lo", "hi", F.explode(F.sequence(F.col("lo").cast("date"), last)).alias("day"))
+def _runs(partitions: DataFrame) -> DataFrame:
+    """(level, run, name, lo, hi): a partition of 2**level days at most, in each run of 2**level days that it meets; two at most.
+
+    However long a partition is (one may end in the year 9999), it has no more rows.
+    """
+    first, end = F.unix_date(F.col("lo").cast("date")), F.col("hi").cast("date")
+    last = F.unix_date(end) - F.when(F.col("hi") == end.cast("timestamp_ntz"), 1).otherwise(0)
+    spans = partitions.where("lo < hi").select("name", "lo", "hi", first.alias("first"), last.alias("last"))
+    spans = spans.withColumn("level", F.ceil(F.log2(F.col("last") - F.col("first") + 1)).cast("int"))
+    ends = (F.call_function("shiftright", F.col(c), F.col("level")) for c in ("first", "last"))
+    return spans.select("level", F.explode(F.sequence(*ends)).alias("run"), "name", "lo", "hi")
 
 
 def route_rows(rows: DataFrame, key: str, partitions: DataFrame) -> DataFrame:
     """``rows`` with the name (part_name) of the partition whose range has their key, null if none has.
 
-    For layouts of any shape whose ranges do not overlap.
+    For layouts of any shape whose ranges do not overlap. Rows are joined once for each level of
+    ``_runs`` that the layout has: one or two in most, 22 at most.
     """
-    days = _daily(partitions.select("name", "lo", "hi"))
-    days = days.select(F.col("day").alias("_day"), F.col("name").alias("part_name"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    if days.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        days = F.broadcast(days)
-    at = F.col(key).cast("timestamp_ntz")
-    match = (at.cast("date") == F.col("_day")) & (at >= F.col("_lo")) & (at < F.col("_hi"))
-    return rows.join(days, match, "left").drop("_day", "_lo", "_hi")
+    runs = _runs(partitions.select("name", "lo", "hi"))
+    levels = sorted((r["level"], r["count"]) for r in runs.groupBy("level").count().collect())
+    at, names = F.col(key).cast("timestamp_ntz"), []
+    for level, n in levels:
+        names.append(f"_name{level}")
+        some = runs.where(F.col("level") == level)
+        some = some.select(F.col("run").alias("_run"), F.col("name").alias(names[-1]), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+        run = F.shiftright(F.unix_date(at.cast("date")), level)
+        match = (run == F.col("_run")) & (at >= F.col("_lo")) & (at < F.col("_hi"))
+        rows = rows.join(F.broadcast(some) if n <= BROADCAST_ROWS else some, match, "left").drop("_run", "_lo", "_hi")
+    return rows.withColumn("part_name", F.coalesce(*names) if names else F.lit(None).cast("string")).drop(*names)
 
 
 def overlapping(partitions: DataFrame, lo: Column, hi: Column) -> DataFrame:

@@ -1,6 +1,7 @@
 """Ranges of sets and their errors; differences; segments to create; what is cleaned up."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,6 +164,36 @@ def test_routing(spark, tmp_path):
     assert "part_name" in filters and "b,c" in filters and "a" not in filters.replace("part_name", "").replace("isnotnull", "")
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_routing_by_partitions_of_any_length(spark, monkeypatch, broadcast):
+    """Hours, days, months, years, one without an end; holes between them; turned and empty ranges have no rows."""
+    monkeypatch.setattr(routing, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(7)
+    at, bounds = dt.datetime(1960, 1, 1), []
+    for i in range(120):
+        end = at + dt.timedelta(hours=rng.choice([1, 6, 24, 24, 36, 24 * 7, 24 * 30, 24 * 31, 24 * 32, 24 * 365, 24 * 512, 24 * 513]))
+        if rng.random() < 0.8:
+            bounds.append((str(at), str(end), f"p{i}"))
+        at = end
+    bounds.append((str(at), "9999-12-31 23:00:00", "last"))
+    odd = [("2000-01-01", "1990-01-01", "turned"), ("1970-01-01", "1970-01-01", "empty")]
+    have = parts(spark, *bounds, *odd)
+    assert routing._runs(have).count() <= 2 * len(bounds)
+    edges = [dt.datetime.fromisoformat(b) for lo, hi, _ in bounds for b in (lo, hi)]
+    keys = sorted({e + dt.timedelta(seconds=s) for e in edges for s in (-1, 0, 1)} | {dt.datetime(1, 1, 2), dt.datetime(9998, 5, 6)})
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)] + [(-1, None)], "i int, at timestamp_ntz")
+    got = {r.i: r.part_name for r in routing.route_rows(rows, "at", have).collect()}
+    ranges_ = [(dt.datetime.fromisoformat(lo), dt.datetime.fromisoformat(hi), n) for lo, hi, n in bounds]
+    want = {i: next((n for lo, hi, n in ranges_ if lo <= k < hi), None) for i, k in enumerate(keys)}
+    assert got == want | {-1: None}
+
+
+def test_routing_without_partitions(spark):
+    rows = spark.createDataFrame([(dt.datetime(2025, 1, 1),)], "at timestamp_ntz")
+    routed = routing.route_rows(rows, "at", parts(spark, ("2025-01-01", "2025-01-02")).limit(0))
+    assert routed.columns == ["at", "part_name"] and [r.part_name for r in routed.collect()] == [None]
+
+
 def test_streams_are_routed(spark, tmp_path):
     from rangeparts.streaming.routing import routed_stream, write_partitioned
 
