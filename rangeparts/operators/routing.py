@@ -22,35 +22,45 @@ def route_regular(rows: DataFrame, key: str, interval: str, table: str) -> DataF
     return rows.withColumn("part_name", F.when(F.col(key).isNotNull(), partition_for(key, interval, F.lit(table))["name"]))
 
 
-def _runs(partitions: DataFrame) -> DataFrame:
-    """(level, run, name, lo, hi): a partition of 2**level days at most, in each run of 2**level days that it meets; two at most.
+#: Levels that partitions can have: 2**22 days are more than 9999 years.
+LEVELS = range(23)
 
-    However long a partition is (one may end in the year 9999), it has no more rows.
-    """
+
+def _spans(partitions: DataFrame) -> DataFrame:
+    """(name, lo, hi, first, last, level): the first and last day of each partition; it has 2**level days at most."""
     first, end = F.unix_date(F.col("lo").cast("date")), F.col("hi").cast("date")
     last = F.unix_date(end) - F.when(F.col("hi") == end.cast("timestamp_ntz"), 1).otherwise(0)
     spans = partitions.where("lo < hi").select("name", "lo", "hi", first.alias("first"), last.alias("last"))
-    spans = spans.withColumn("level", F.ceil(F.log2(F.col("last") - F.col("first") + 1)).cast("int"))
+    return spans.withColumn("level", F.ceil(F.log2(F.col("last") - F.col("first") + 1)).cast("int"))
+
+
+def _runs(spans: DataFrame) -> DataFrame:
+    """(level, run, name, lo, hi): each span in each run of 2**level days that it meets; two at most.
+
+    However long a partition is (one may end in the year 9999), it has no more rows. The level is given
+    by the generator, so that a filter on it stays above whatever the spans are made of.
+    """
     ends = (F.call_function("shiftright", F.col(c), F.col("level")) for c in ("first", "last"))
-    return spans.select("level", F.explode(F.sequence(*ends)).alias("run"), "name", "lo", "hi")
+    runs = F.transform(F.sequence(*ends), lambda run: F.struct(F.col("level").alias("level"), run.alias("run")))
+    return spans.select(F.inline(runs), "name", "lo", "hi")
 
 
 def route_rows(rows: DataFrame, key: str, partitions: DataFrame) -> DataFrame:
     """``rows`` with the name (part_name) of the partition whose range has their key, null if none has.
 
-    For layouts of any shape whose ranges do not overlap. Rows are joined once for each level of
-    ``_runs`` that the layout has: one or two in most, 22 at most.
+    For layouts of any shape whose ranges do not overlap. Rows are joined once for each of the LEVELS
+    that the layout has: one or two in most.
     """
-    runs = _runs(partitions.select("name", "lo", "hi"))
-    levels = sorted((r["level"], r["count"]) for r in runs.groupBy("level").count().collect())
+    spans = _spans(partitions.select("name", "lo", "hi"))
+    counts = spans.agg(*(F.count_if(F.col("level") == i) for i in LEVELS)).first()
+    runs = _runs(spans)
     at, names = F.col(key).cast("timestamp_ntz"), []
-    for level, n in levels:
+    for level in (i for i in LEVELS if counts[i]):
         names.append(f"_name{level}")
-        some = runs.where(F.col("level") == level)
-        some = some.select(F.col("run").alias("_run"), F.col("name").alias(names[-1]), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+        some = runs.where(F.col("level") == level).drop("level").toDF("_run", names[-1], "_lo", "_hi")
         run = F.shiftright(F.unix_date(at.cast("date")), level)
         match = (run == F.col("_run")) & (at >= F.col("_lo")) & (at < F.col("_hi"))
-        rows = rows.join(F.broadcast(some) if n <= BROADCAST_ROWS else some, match, "left").drop("_run", "_lo", "_hi")
+        rows = rows.join(F.broadcast(some) if 2 * counts[level] <= BROADCAST_ROWS else some, match, "left").drop("_run", "_lo", "_hi")
     return rows.withColumn("part_name", F.coalesce(*names) if names else F.lit(None).cast("string")).drop(*names)
 
 

@@ -178,7 +178,8 @@ def test_routing_by_partitions_of_any_length(spark, monkeypatch, broadcast):
     bounds.append((str(at), "9999-12-31 23:00:00", "last"))
     odd = [("2000-01-01", "1990-01-01", "turned"), ("1970-01-01", "1970-01-01", "empty")]
     have = parts(spark, *bounds, *odd)
-    assert routing._runs(have).count() <= 2 * len(bounds)
+    spans = routing._spans(have)
+    assert spans.count() == len(bounds) and routing._runs(spans).count() <= 2 * len(bounds)
     edges = [dt.datetime.fromisoformat(b) for lo, hi, _ in bounds for b in (lo, hi)]
     keys = sorted({e + dt.timedelta(seconds=s) for e in edges for s in (-1, 0, 1)} | {dt.datetime(1, 1, 2), dt.datetime(9998, 5, 6)})
     rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)] + [(-1, None)], "i int, at timestamp_ntz")
